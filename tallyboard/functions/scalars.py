@@ -69,9 +69,7 @@ def parse_utc(date_text: Column | str, time_text: Column | str) -> dict[str, Col
     d = F.when(d.contains("?") | (d == ""), None).otherwise(d)
     t = F.when(t.contains("?") | (t == ""), None).otherwise(t)
     shaped = d.rlike(r"^\d{4}\.\d{1,2}\.\d{1,2}\z")
-    day = F.when(shaped, F.expr("null").cast("date")) if False else F.when(
-        shaped, F.try_to_date(d, "yyyy.M.d")
-    )
+    day = F.when(shaped, F.try_to_date(d, "yyyy.M.d"))
     timed = t.rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}\z")
     instant = F.when(
         day.isNotNull() & timed,

@@ -1,0 +1,11 @@
+"""Named queries over the given tables, and the SQL they are checked against."""
+
+
+def load():
+    """All registered queries and their SQL."""
+    from tallyboard.plans import (  # noqa: F401
+        catalog,
+        facts,
+    )
+
+    return catalog.QUERIES, catalog.ORACLES
