@@ -5,7 +5,9 @@ def load():
     """All registered queries and their SQL."""
     from tallyboard.plans import (  # noqa: F401
         catalog,
+        cube_plans,
         facts,
+        sequence_plans,
     )
 
     return catalog.QUERIES, catalog.ORACLES

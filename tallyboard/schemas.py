@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    pairs = (column.split() for column in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 FACT_GAME = _schema(
@@ -37,5 +48,13 @@ CUBE = _schema(
     "black_rating bigint, game_key string, mover string"
 )
 # Column-name parts and text that would publish an identifier.
-FORBIDDEN_PARTS = ("player", "username", "user_name", "email", "url", "fingerprint")
-LEAK_PATTERN = r"(?i)https?://|www\.|@[a-z]|/home/|/users/"
+FORBIDDEN_PARTS = (
+    "player_key",
+    "game_id",
+    "headers_json",
+    "fingerprint",
+    "username",
+    "absolute_path",
+    "source_file",
+)
+LEAK_PATTERN = r"player_key|username|headers_json|\.pgn\b|/[A-Za-z0-9._/-]+\.json"

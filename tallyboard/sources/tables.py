@@ -81,8 +81,6 @@ def union_grains(cells: Sequence[DataFrame]) -> DataFrame:
 def write_cube(cells: Sequence[DataFrame], path: str) -> DataFrame:
     """Write all grains as one table partitioned by grain; an empty cube raises."""
     spark = cells[0].sparkSession
-    # One file per grain and task: cells of a grain are few, so they are gathered by grain
-    # and a hash of the row, never by grain alone.
     union_grains(cells).write.mode("errorifexists").partitionBy("grain").parquet(path)
     cube = read_cube(spark, path)
     if cube.isEmpty():
@@ -108,7 +106,7 @@ def overwrite_grains(new: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-CASE_SCHEMA = T.StructType.fromDDL("id string, split string, label string, question string")
+CASE_SCHEMA = "id string, split string, label string, question string"
 
 
 def read_labelled_text(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +133,7 @@ def label_split_counts(cases: DataFrame) -> DataFrame:
     return cases.groupBy("split", "label").agg(F.count("*").alias("cases"))
 
 
-RECEIPT_SCHEMA = T.StructType.fromDDL(
+RECEIPT_SCHEMA = (
     "run_id string, model string, cases bigint, repeats bigint, headline_passed bigint, "
     "headline_pass_rate double, known_gross_cost_usd double, high_severity_misses bigint, "
     "unsafe_answer bigint, over_abstention bigint, hard_fail boolean, "
