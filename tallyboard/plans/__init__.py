@@ -8,6 +8,7 @@ def load():
         cube_plans,
         facts,
         sequence_plans,
+        stats_plans,
     )
 
     return catalog.QUERIES, catalog.ORACLES
