@@ -9,6 +9,7 @@ def load():
         facts,
         sequence_plans,
         stats_plans,
+        store_plans,
     )
 
     return catalog.QUERIES, catalog.ORACLES

@@ -147,9 +147,9 @@ RECEIPT_SCHEMA = (
 )
 
 
-def read_run_receipts(spark: SparkSession, path: str) -> DataFrame:
-    """Attempt rows of nested run receipts, one JSON document per file."""
-    docs = spark.read.schema(RECEIPT_SCHEMA).option("multiLine", True).json(path)
+def read_run_receipts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Attempt rows of nested run receipts: a JSON document per file, or one per line."""
+    docs = spark.read.schema(RECEIPT_SCHEMA).option("multiLine", multi_line).json(path)
     file = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
     return flatten_receipts(
         docs.withColumn("file_run", F.regexp_extract(file, r"([^/]+?)(?:-receipt)?\.json$", 1))
