@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions.scalars import ERROR_CENTIPAWNS
 from tallyboard.operators.stats import brier, reliability
+from tallyboard.session import materialize
 from tallyboard.operators.windows import hash_rank, prefix_lookup, sequence_check, visit_sequence
 
 # Features known before the move, and the named opening prefixes.
@@ -146,11 +147,16 @@ def fit_calibrated(frame: DataFrame, seed: int = SEED, rounds: int = 40, depth:
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    labelled = feature_columns(frame).withColumn("label", F.col("error_proxy").cast("double"))
+    # The trees read the rows many times: from a stored table, not from their lineage.
+    labelled = materialize(
+        feature_columns(frame).withColumn("label", F.col("error_proxy").cast("double")),
+        "training",
+    )
     first = grouped_split(labelled, "game_id", 0.25, seed)
     holdout = first.where("part = 'test'").drop("part")
     second = grouped_split(first.where("part = 'train'").drop("part"), "game_id", 1 / 3, seed)
-    training = second.where("part = 'train'").drop("part").cache()
+    second = materialize(second, "training-parts")
+    training = second.where("part = 'train'").drop("part")
     calibration = second.where("part = 'test'").drop("part")
     for name, part in (("training", training), ("calibration", calibration)):
         if part.select("label").distinct().count() != 2:
@@ -175,7 +181,6 @@ def fit_calibrated(frame: DataFrame, seed: int = SEED, rounds: int = 40, depth:
     sigmoid = LogisticRegression(
         featuresCol="score", labelCol="label", probabilityCol="calibrated", rawPredictionCol="logit"
     ).fit(margins(calibration))
-    training.unpersist()
     return (
         sigmoid.transform(margins(holdout))
         .withColumn("probability", vector_to_array("calibrated")[1])

@@ -95,7 +95,8 @@ def run_checks(
             _one(
                 "two_participants",
                 paired.where(
-                    (F.coalesce("rows", F.lit(0)) != 2) | (F.coalesce("colors", F.lit(0)) != 2)
+                    (F.coalesce(F.col("rows") * F.col("n"), F.lit(0)) != 2)
+                    | (F.coalesce("colors", F.lit(0)) != 2)
                 ),
             ),
             _one("no_orphans", orphans(players, games)),
@@ -271,17 +272,16 @@ def compare_reports(
 ) -> DataFrame:
     """Keys on which two independently built aggregates disagree; null equals null."""
     keys = list(keys)
-    a = left.select(*keys, *[F.col(v).alias(f"left_{v}") for v in values], F.lit(1).alias("_a"))
-    b = right.select(*keys, *[F.col(v).alias(f"right_{v}") for v in values], F.lit(1).alias("_b"))
-    same = [a[k].eqNullSafe(b[k]) for k in keys]
-    j = a.join(b, same, "full_outer")
-    differs = a["_a"].isNull() | b["_b"].isNull()
+    a = left.select(*keys, *values, F.lit(1).alias("_in")).alias("a")
+    b = right.select(*keys, *values, F.lit(1).alias("_in")).alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    differs = F.col("a._in").isNull() | F.col("b._in").isNull()
     for v in values:
-        differs = differs | ~F.col(f"left_{v}").eqNullSafe(F.col(f"right_{v}"))
-    return j.where(differs).select(
-        *[F.coalesce(a[k], b[k]).alias(k) for k in keys],
-        *[f"left_{v}" for v in values],
-        *[f"right_{v}" for v in values],
+        differs = differs | ~F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}"))
+    return a.join(b, same, "full_outer").where(differs).select(
+        *[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys],
+        *[F.col(f"a.{v}").alias(f"left_{v}") for v in values],
+        *[F.col(f"b.{v}").alias(f"right_{v}") for v in values],
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import scalars as S
 from tallyboard.operators import windows as W
+from tallyboard.session import stored_table
 
 LINE_ORDER = (
     "l_partkey",
@@ -140,9 +141,13 @@ class Tables:
             F.when(mate, 3).cast("bigint").alias("eval_after_mate_white"),
         )
 
+    def stored(self, name: str, build) -> DataFrame:
+        return stored_table(self.spark, (self.sf_dir, name), build)
+
     @cached_property
     def move_facts(self) -> DataFrame:
-        return W.move_facts(self.moves, self.games)
+        """The published move facts: written once, then read by every metric on moves."""
+        return self.stored("move_facts", lambda: W.move_facts(self.moves, self.games))
 
     @cached_property
     def plies(self) -> DataFrame:
@@ -169,6 +174,10 @@ class Tables:
 
     @cached_property
     def visits(self) -> DataFrame:
+        """The published visits: written once, then read by every ranking."""
+        return self.stored("visits", self._visits)
+
+    def _visits(self) -> DataFrame:
         seq = W.visit_sequence(self.plies, ["provider", "game_id"], max_ply=20)
         first = F.split_part("route", F.lit(" "), F.lit(1))
         return seq.withColumn(
@@ -177,7 +186,7 @@ class Tables:
 
     @cached_property
     def earliest(self) -> DataFrame:
-        return W.earliest_visit(self.visits)
+        return self.stored("earliest", lambda: W.earliest_visit(self.visits))
 
     @cached_property
     def sources(self) -> DataFrame:

@@ -53,3 +53,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_table(spark: SparkSession, key: tuple[str, ...], build) -> DataFrame:
+    """A table written once per session under ``key`` in the shared folder, then read.
+
+    ``build`` gives the frame the first time. Many operators read the same facts; a
+    stored table also survives the loss of any executor.
+    """
+    kept = spark.sparkContext.__dict__.setdefault("_tallyboard_tables", {})
+    if key not in kept:
+        df = build()
+        path = scratch_path(spark, key[-1])
+        df.write.parquet(path)
+        kept[key] = (path, df.schema)
+    path, schema = kept[key]
+    return spark.read.schema(schema).parquet(path)

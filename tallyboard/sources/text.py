@@ -59,44 +59,52 @@ def _head(record: Column) -> Column:
     return F.regexp_extract(record, r"\A((?:[ \t]*\r?\n|\[[^\n]*(?:\n|\z))*)", 1)
 
 
-def split_record(df: DataFrame, record: str = "record") -> DataFrame:
-    """``head`` and ``body`` columns of a record text."""
-    head = _head(F.col(record))
-    return df.withColumn("head", head).withColumn(
-        "body", F.expr(f"substr({record}, length(head) + 1)")
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often they are read.
+
+    Plain projections would be merged with what reads them, and the patterns below be
+    matched again for every use; rows made by ``inline`` are not.
+    """
+    return df.select(
+        "*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     )
 
 
-def tag_names(head: Column) -> Column:
-    return F.regexp_extract_all(head, F.lit(TAG_LINE), F.lit(1))
+def split_record(df: DataFrame, record: str = "record") -> DataFrame:
+    """``head`` and ``body`` columns of a record text."""
+    parts = bind(df, head=_head(F.col(record)))
+    return parts.withColumn("body", F.expr(f"substr({record}, length(head) + 1)"))
+
+
+def _named(df: DataFrame, record: str) -> DataFrame:
+    """``_n`` names, ``_v`` values and the number of tag lines of the head."""
+    head = F.col("head")
+    return bind(
+        split_record(df, record),
+        _n=F.regexp_extract_all(head, F.lit(TAG_LINE), F.lit(1)),
+        _v=F.regexp_extract_all(head, F.lit(TAG_LINE), F.lit(2)),
+        _lines=F.size(F.regexp_extract_all(head, F.lit(r"(?m)^(\[)"), F.lit(1))),
+    )
 
 
 def parse_tags(df: DataFrame, record: str = "record") -> DataFrame:
     """``tags`` map and ``tag_reason``; a malformed or repeated tag gives the reason."""
-    parts = split_record(df, record)
-    names = tag_names(F.col("head"))
-    values = F.regexp_extract_all(F.col("head"), F.lit(TAG_LINE), F.lit(2))
-    lines = F.size(F.regexp_extract_all(F.col("head"), F.lit(r"(?m)^(\[)"), F.lit(1)))
-    staged = parts.withColumn("_n", names).withColumn("_v", values).withColumn("_lines", lines)
     bad = (F.size("_n") != F.col("_lines")) | (F.size(F.array_distinct("_n")) != F.size("_n"))
-    return (
-        staged.withColumn("tag_reason", F.when(bad, "malformed_header"))
-        .withColumn("tags", F.when(~bad, F.map_from_arrays("_n", "_v")))
-        .drop("_n", "_v", "_lines")
-    )
+    return bind(
+        _named(df, record),
+        tag_reason=F.when(bad, "malformed_header"),
+        tags=F.when(~bad, F.map_from_arrays("_n", "_v")),
+    ).drop("_n", "_v", "_lines")
 
 
 def first_tags(df: DataFrame, record: str = "record") -> DataFrame:
     """Tolerant ``tags``: unreadable lines are skipped and the first of a name wins."""
-    parts = split_record(df, record)
-    names = tag_names(F.col("head"))
-    values = F.regexp_extract_all(F.col("head"), F.lit(TAG_LINE), F.lit(2))
-    pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
-    staged = parts.withColumn("_p", pairs)
+    pairs = F.arrays_zip(F.col("_n").alias("n"), F.col("_v").alias("v"))
+    staged = bind(_named(df, record), _p=pairs)
     keep = F.expr(
         "filter(_p, (x, i) -> i = 0 or not exists(slice(_p, 1, i), y -> y.n = x.n))"
     )
-    return staged.withColumn("tags", F.map_from_entries(keep)).drop("_p")
+    return bind(staged, tags=F.map_from_entries(keep)).drop("_p", "_n", "_v", "_lines")
 
 
 def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
@@ -110,11 +118,8 @@ def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
         return F.col("tags").getItem(name)
 
     site = F.regexp_extract(F.coalesce(tag("Site"), F.lit("")), GAME_ID, 1)
-    result = F.coalesce(tag("Result"), F.lit(""))
-    plain = F.trim(
-        F.regexp_replace(F.regexp_replace("body", r"\{[^}]*\}|;[^\n]*", " "), r"\s+", " ")
-    )
-    last = F.element_at(F.split(plain, " "), -1)
+    result = F.coalesce(F.col("result"), F.lit(""))
+    bare = F.regexp_replace(F.col("body"), r"\{[^}]*\}|;[^\n]*", " ")
     utc = S.parse_utc(tag("UTCDate"), tag("UTCTime"))
 
     def bad_rating(name: str) -> Column:
@@ -122,17 +127,18 @@ def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
         return ~v.isin("?", "-", "") & ~v.rlike(r"^\d+\z")
 
     base, increment = S.time_control(tag("TimeControl"))
-    staged = t.withColumns(
-        {
-            "game_id": F.nullif(site, F.lit("")),
-            "result": tag("Result"),
-            "utc_date": utc["utc_date"],
-            "played_at": utc["played_at"],
-            "timestamp_precision": utc["timestamp_precision"],
-            "_invalid_utc": utc["invalid_utc"],
-            "base_seconds": base,
-            "increment_seconds": increment,
-        }
+    staged = bind(
+        t,
+        game_id=F.nullif(site, F.lit("")),
+        result=tag("Result"),
+        utc_date=utc["utc_date"],
+        played_at=utc["played_at"],
+        timestamp_precision=utc["timestamp_precision"],
+        _invalid_utc=utc["invalid_utc"],
+        base_seconds=base,
+        increment_seconds=increment,
+        # The last word of the moves once comments are gone.
+        _last=F.regexp_extract(bare, r"(\S+)\s*\z", 1),
     )
     reason = (
         F.when(F.col("tag_reason").isNotNull(), F.col("tag_reason"))
@@ -143,20 +149,20 @@ def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
             "nonstandard_start",
         )
         .when(F.col("game_id").isNull() | ~result.isin(*S.RESULTS), "required_header")
-        .when((plain == "") | (last != result), "missing_or_mismatched_termination")
+        .when(F.col("_last") != result, "missing_or_mismatched_termination")
         .when(F.col("_invalid_utc"), "invalid_utc")
         .when(bad_rating("WhiteElo") | bad_rating("BlackElo"), "invalid_rating")
     )
     excluded = ("unsupported_variant", "not_rated", "nonstandard_start")
     return (
-        staged.withColumn("reason", reason)
+        bind(staged, reason=reason)
         .withColumn(
             "disposition",
             F.when(F.col("reason").isNull(), "accepted")
             .when(F.col("reason").isin(*excluded), "excluded")
             .otherwise("quarantine"),
         )
-        .drop("_invalid_utc", "tag_reason", "head")
+        .drop("_invalid_utc", "_last", "tag_reason", "head")
     )
 
 
