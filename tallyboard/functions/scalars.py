@@ -347,16 +347,20 @@ LABEL_RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
 
 def rule_label(text: Column | str, rules=LABEL_RULES, default: str = "clarify") -> Column:
     """First rule whose patterns all match and whose exclusions do not."""
-    q = F.lower(col(text))
-    out = None
-    for label, needed, barred in rules:
-        hit = F.lit(True)
-        for pattern in needed:
-            hit = hit & q.rlike(pattern)
-        for pattern in barred:
-            hit = hit & ~q.rlike(pattern)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(default)
+
+    def choose(q: Column) -> Column:
+        out = None
+        for label, needed, barred in rules:
+            hit = F.lit(True)
+            for pattern in needed:
+                hit = hit & q.rlike(pattern)
+            for pattern in barred:
+                hit = hit & ~q.rlike(pattern)
+            out = F.when(hit, label) if out is None else out.when(hit, label)
+        return out.otherwise(default)
+
+    # The lambda binds the folded text, which every pattern would else fold again.
+    return F.transform(F.array(F.lower(col(text))), choose)[0]
 
 
 REFUSALS = ("needs_clarification", "unsupported")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import scalars as S
 from tallyboard.operators import windows as W
-from tallyboard.session import stored_table
+from tallyboard.session import spread, stored_table
 
 LINE_ORDER = (
     "l_partkey",
@@ -36,6 +36,9 @@ class Tables:
 
     @cached_property
     def games(self) -> DataFrame:
+        return self.games_with()
+
+    def games_with(self, *extra: str) -> DataFrame:
         k, status = F.col("o_orderkey"), F.col("o_orderstatus")
         inc = F.when(k % 3 == 1, 2).otherwise(0).cast("bigint")
         base = F.when(k % 3 == 0, 60).when(k % 3 == 1, 180).otherwise(300).cast("bigint")
@@ -70,6 +73,7 @@ class Tables:
             F.sha2(F.concat_ws("|", k.cast("string"), status, cents), 256).alias(
                 "record_fingerprint"
             ),
+            *extra,
         )
 
     @cached_property
@@ -288,16 +292,14 @@ class Tables:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self.raw("documents")
+        return spread(self.raw("documents"))
 
     @cached_property
     def records(self) -> DataFrame:
         """Record texts, one per order: tags, a blank line, annotated moves, the result."""
         k = F.col("source_ordinal")
-        wide = self.games.join(
-            self.raw("orders").select(F.col("o_orderkey").alias("source_ordinal"), "o_custkey"),
-            "source_ordinal",
-        )
+        custkey = F.col("o_custkey")
+        wide = self.games_with("o_custkey")
         identifier = F.substring(F.sha2(k.cast("string"), 256), 1, 8)
 
         def tag(name, value):
@@ -308,7 +310,7 @@ class Tables:
             tag("Site", F.concat(F.lit("https://lichess.org/"), identifier)),
             F.when(k % 59 == 0, tag("Variant", F.lit("Atomic"))).otherwise(""),
             F.when(k % 67 == 0, '[Broken tag]\n').otherwise(""),
-            tag("White", F.concat(F.lit("C"), F.col("o_custkey").cast("string"))),
+            tag("White", F.concat(F.lit("C"), custkey.cast("string"))),
             tag("Black", F.when(k % 31 == 0, "?").otherwise(F.concat(F.lit("D"), k.cast("string")))),
             tag("Result", F.col("result")),
             tag(
@@ -345,7 +347,7 @@ class Tables:
             F.when(k % 79 == 0, "").otherwise(F.col("result")),
             F.lit("\n"),
         )
-        return wide.select(k.alias("ordinal"), text.alias("record"))
+        return spread(wide).select(k.alias("ordinal"), text.alias("record"))
 
 
 # --- the same views in SQL ---------------------------------------------------------

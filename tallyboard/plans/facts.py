@@ -11,6 +11,7 @@ from tallyboard.operators import metrics as E
 from tallyboard.operators import windows as W
 from tallyboard.plans.bindings import Tables
 from tallyboard.plans.catalog import query
+from tallyboard.session import spread
 
 COHORT = dict(
     color="black",
@@ -345,7 +346,7 @@ def _rule_sql(column: str) -> str:
 )
 def _(t: Tables):
     frames = [
-        t.raw(n).select(F.lit(s).alias("source"), S.rule_label("text").alias("label"))
+        spread(t.raw(n)).select(F.lit(s).alias("source"), S.rule_label("text").alias("label"))
         for n, s in (
             ("conversations", "conversation"),
             ("benchmark", "benchmark"),

@@ -55,6 +55,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread heavy row-by-row text work over all cores where the input has too few splits.
+
+    A large input has more splits than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def stored_table(spark: SparkSession, key: tuple[str, ...], build) -> DataFrame:
     """A table written once per session under ``key`` in the shared folder, then read.
 

@@ -56,7 +56,8 @@ def read_records(spark: SparkSession, path: str, marker: str = MARKER) -> DataFr
 
 def _head(record: Column) -> Column:
     """Lines before the first non-blank line that is not a tag line."""
-    return F.regexp_extract(record, r"\A((?:[ \t]*\r?\n|\[[^\n]*(?:\n|\z))*)", 1)
+    start = F.regexp_instr(record, F.lit(r"(?m)^(?:[ \t\r]+\S|[^\[\s])"))
+    return F.when(start > 0, F.substring(record, F.lit(1), start - 1)).otherwise(record)
 
 
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
