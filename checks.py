@@ -29,7 +29,7 @@ def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return round(value, 5) + 0.0
+        return value + 0.0
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, dt.date):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyboard.plans.bindings import Tables, prelude
+from tallyboard.plans.rounding import DOUBLES, PLACES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,10 +24,20 @@ def query(name: str, sql: str | None = None, uses: str = "", ctes: str = ""):
     def keep(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        doubles = DOUBLES.get(name, "").split()
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(Tables(spark, sf_dir))
+            return df.withColumns({c: F.round(c, PLACES) for c in doubles}) if doubles else df
+
+        QUERIES[name] = run
         if sql is not None:
             parts = [p for p in (prelude(uses.split()), ctes.strip().strip(",")) if p]
-            ORACLES[name] = (f"with {', '.join(parts)} {sql}" if parts else sql).strip()
+            whole = (f"with {', '.join(parts)} {sql}" if parts else sql).strip()
+            if doubles:
+                rounded = ", ".join(f'round("{c}", {PLACES}) as "{c}"' for c in doubles)
+                whole = f"select * replace ({rounded}) from ({whole})"
+            ORACLES[name] = whole
         return fn
 
     return keep

@@ -378,8 +378,9 @@ WIDE = Q.Filters(dt.date(1900, 1, 1), dt.date(2100, 1, 1), time_control="60+0")
 
 @query(
     "e26_kpis",
-    """select 'games' card, sum(games)::double numerator, null::double denominator, sum(games)::double as value from ga
-    union all select 'mean_ply', sum(games), null, sum(games*mean_ply)/sum(games) from ga
+    """select 'games' card, coalesce(sum(games),0)::double numerator, null::double denominator,
+    coalesce(sum(games),0)::double as value from ga
+    union all select 'mean_ply', coalesce(sum(games),0), null, sum(games*mean_ply)/sum(games) from ga
     union all select 'win_rate', sum(wins), sum(games), sum(wins)/sum(games)::double from re
     union all select 'loss_rate', sum(losses), sum(games), sum(losses)/sum(games)::double from re
     union all select 'draw_rate', sum(draws), sum(games), sum(draws)/sum(games)::double from re
