@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyboard.functions.scalars import blank_to_null, completed, family, month_period, rating_band
 from tallyboard.operators.dedupe import unpivot_colors
 from tallyboard.operators.filters import eligible, suppress_small
-from tallyboard.operators.joins import join_bounds
+from tallyboard.operators.joins import date_bounds_by
 from tallyboard.operators.metrics import KEYS, clock_rows
 
 MIN_CELL = 10
@@ -103,44 +103,46 @@ def clock_cells(
     )
 
 
+def _with_bounds(cells: DataFrame, index: DataFrame, minimum: int) -> DataFrame:
+    """Kept cells with the first and last date of their cohort and period."""
+    bounds = date_bounds_by(index, ["source_cohort", "source_period"]).drop("_n")
+    return (
+        suppress_small(cells, minimum)
+        .join(bounds, ["source_cohort", "source_period"])
+        .withColumnRenamed("source_period", "period")
+        .withColumnRenamed("source_cohort", "cohort")
+    )
+
+
 def source_game_cells(index: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     """Period, cohort, control and family of the multi-source index."""
-    rows = join_bounds(index.where(eligible()), ["source_cohort", "source_period"])
+    rows = index.where(eligible())
     cells = rows.groupBy(
-        F.col("source_period").alias("period"),
-        F.col("source_cohort").alias("cohort"),
-        "period_start",
-        "period_end",
+        "source_period",
+        "source_cohort",
         "time_control",
         family("source_opening").alias("opening_family"),
     ).agg(F.count("*").alias("games"), F.avg("ply_count").alias("mean_ply"))
-    return suppress_small(cells, minimum)
+    return _with_bounds(cells, rows, minimum)
 
 
 def source_result_cells(index: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     """The same with color and rating band, from the white and black columns."""
-    rows = join_bounds(index.where(eligible()), ["source_cohort", "source_period"])
-    keep = [
-        "source_period",
-        "source_cohort",
-        "period_start",
-        "period_end",
-        "time_control",
-        "ply_count",
-        "source_opening",
-    ]
-    played = unpivot_colors(rows, keep)
-    cells = played.groupBy(
-        F.col("source_period").alias("period"),
-        F.col("source_cohort").alias("cohort"),
-        "period_start",
-        "period_end",
-        "time_control",
-        "color",
-        rating_band("rating").alias("rating_band"),
-        family("source_opening").alias("opening_family"),
-    ).agg(*_outcomes())
-    return suppress_small(cells, minimum)
+    rows = index.where(eligible())
+    keep = ["source_period", "source_cohort", "time_control", "ply_count", "source_opening"]
+    cells = (
+        unpivot_colors(rows, keep)
+        .groupBy(
+            "source_period",
+            "source_cohort",
+            "time_control",
+            "color",
+            rating_band("rating").alias("rating_band"),
+            family("source_opening").alias("opening_family"),
+        )
+        .agg(*_outcomes())
+    )
+    return _with_bounds(cells, rows, minimum)
 
 
 def clock_game_rows(moves: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.functions.scalars import score_from_result
+from tallyboard.operators.joins import join_back
 
 
 def dedupe_or_conflict(
@@ -16,18 +17,19 @@ def dedupe_or_conflict(
     """``status`` of each row: accepted (first of its id), duplicate, or conflict.
 
     The first row of every id is found by an aggregation on narrow columns, which
-    combines before the shuffle; the join back is one that Spark can split where an
-    id is hot.
+    combines before the shuffle; ``join_back`` spreads the copies of a hot id.
     """
     first = df.groupBy(*keys).agg(
-        F.min(ordinal).alias("_first"), F.min_by(fingerprint, ordinal).alias("_fp")
+        F.min(ordinal).alias("_first"),
+        F.min_by(fingerprint, ordinal).alias("_fp"),
+        F.count("*").alias("_n"),
     )
     status = (
         F.when(F.col(ordinal) == F.col("_first"), "accepted")
         .when(F.col(fingerprint) == F.col("_fp"), "duplicate")
         .otherwise("conflict")
     )
-    return df.join(first, list(keys)).withColumn("status", status).drop("_first", "_fp")
+    return join_back(df, first, keys, "_n").withColumn("status", status).drop("_first", "_fp")
 
 
 def withhold_conflicts(
@@ -37,13 +39,15 @@ def withhold_conflicts(
     group = df.groupBy(*keys).agg(
         F.min(ordinal).alias("_first"),
         (F.min(fingerprint) != F.max(fingerprint)).alias("_conflict"),
+        F.count("*").alias("_n"),
     )
     status = (
         F.when(F.col("_conflict"), "conflict")
         .when(F.col(ordinal) == F.col("_first"), "accepted")
         .otherwise("duplicate")
     )
-    return df.join(group, list(keys)).withColumn("status", status).drop("_first", "_conflict")
+    kept = join_back(df, group, keys, "_n").withColumn("status", status)
+    return kept.drop("_first", "_conflict")
 
 
 def status_totals(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -81,5 +85,5 @@ def dedupe_by_rank(
     rows: DataFrame, keys: Sequence[str] = ("provider", "game_id"), rank: str = "source_rank"
 ) -> DataFrame:
     """The row of the lowest source rank per id: narrow keys are summed, then joined back."""
-    winners = rows.groupBy(*keys).agg(F.min(rank).alias(rank))
-    return rows.join(winners, [*keys, rank], "left_semi")
+    winners = rows.groupBy(*keys).agg(F.min(rank).alias("_best"), F.count("*").alias("_n"))
+    return join_back(rows, winners, keys, "_n").where(F.col(rank) == F.col("_best")).drop("_best")

@@ -11,6 +11,49 @@ from tallyboard.functions.scalars import LOSS_CAP, clamp, surrogate_key
 from tallyboard.operators.filters import game_eligibility, staged_games
 
 KEYS = ["provider", "game_id"]
+HOT_ROWS = 1_000_000
+SALTS = 4096
+
+
+def join_back(
+    df: DataFrame,
+    summary: DataFrame,
+    keys: Sequence[str],
+    count: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Give every row the summary of its key, where a key may hold most of the rows.
+
+    ``summary`` has one row per key of ``df`` and, in ``count``, at least the number of
+    its rows. Keys beyond ``hot_rows`` are broadcast: there are at most rows / hot_rows
+    of them. Their rows are salted, so that the shuffle that serves the other keys
+    spreads them; the other side has no row under those salts. Null keys match nothing.
+    """
+    keys = list(keys)
+    values = [c for c in summary.columns if c not in keys and c != count]
+    hot = summary.where(F.col(count) > hot_rows).select(
+        *keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
+    )
+    cold = summary.select(
+        *keys,
+        F.when(F.col(count) > hot_rows, -1).otherwise(0).cast("bigint").alias("_salt"),
+        F.lit(True).alias("_cold"),
+        *[F.col(v).alias(f"_cold_{v}") for v in values],
+    )
+    # Equal copies differ by the task that reads them; both parts are the same on a retry.
+    digest = F.xxhash64(*[F.col(c) for c in df.columns])
+    spread = F.pmod(digest.bitwiseXOR(F.spark_partition_id().cast("bigint")), F.lit(SALTS)) + 1
+    marked = df.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("bigint")
+    )
+    joined = marked.join(cold, [*keys, "_salt"], "left")
+    return joined.where(F.col("_hot").isNotNull() | F.col("_cold").isNotNull()).select(
+        *df.columns,
+        *[
+            F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v)
+            for v in values
+        ],
+    )
 
 
 def player_outcomes(players: DataFrame, games: DataFrame) -> DataFrame:
@@ -105,10 +148,15 @@ def cumulative_union(visits: DataFrame, ranks: DataFrame, column: str, k: int) -
 
 def join_bounds(df: DataFrame, keys: Sequence[str], date: str = "utc_date") -> DataFrame:
     """First and last date of each cohort and period, on every row of it."""
-    bounds = df.groupBy(*keys).agg(
-        F.min(date).alias("period_start"), F.max(date).alias("period_end")
+    return join_back(df, date_bounds_by(df, keys, date), keys, "_n")
+
+
+def date_bounds_by(df: DataFrame, keys: Sequence[str], date: str = "utc_date") -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.min(date).alias("period_start"),
+        F.max(date).alias("period_end"),
+        F.count("*").alias("_n"),
     )
-    return df.join(bounds, list(keys))
 
 
 def reconcile_scalar(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyboard.functions.scalars import hash_number
+from tallyboard.operators.joins import join_back
 from tallyboard.operators.metrics import ratio
 from tallyboard.operators.windows import hash_rank
 
@@ -338,11 +339,11 @@ def ranked_choices(
     totals = candidates.groupBy(*keys).agg(
         F.sum(w).alias("_total"),
         F.coalesce(F.max(F.when(F.col(chosen), w)), F.lit(0.0)).alias("_mine"),
+        F.count("*").alias("_n"),
         *[F.max(c).alias(c) for c in carry],
     )
     bigger = (
-        candidates.select(*keys, w.alias("_w"))
-        .join(totals.select(*keys, "_mine"), list(keys))
+        join_back(candidates.select(*keys, w.alias("_w")), totals.select(*keys, "_mine", "_n"), keys, "_n")
         .groupBy(*keys)
         .agg(F.count_if(F.col("_w") > F.col("_mine")).alias("_bigger"))
     )
@@ -605,7 +606,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / MEDIAN_BINS)
     # Values are counted first, so a value that many rows share is one row from here on.
     counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    binned = counted.join(ends, keys).withColumn(
+    binned = join_back(counted, ends.withColumn("_rows", F.col("_n")), keys, "_rows").withColumn(
         "_bin", F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(0))
     )
     sizes = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))

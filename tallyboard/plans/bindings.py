@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import scalars as S
 from tallyboard.operators import windows as W
-from tallyboard.session import spread, stored_table
+from tallyboard.session import spread, stored_table, tune
 
 LINE_ORDER = (
     "l_partkey",
@@ -29,7 +29,7 @@ class Tables:
     """Lazily built views over one folder of Parquet tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

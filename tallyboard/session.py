@@ -8,14 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# A join that feeds a window or an aggregation on the same key is split too where a key
+# is hot; Spark adds a shuffle only when it finds such a key at run time. A sort-merge join
+# becomes a hash join only where every partition was measured to be below the threshold.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings that the operators count on."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def get_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the library is tested under."""
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tallyboard")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")

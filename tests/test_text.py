@@ -163,3 +163,16 @@ def test_dedupe_by_rank(spark, rows):
         "provider string, game_id string, source_rank int, result string, r int")
     assert rows(H.dedupe_by_rank(df).select("game_id", "source_rank"), "game_id") == [("a", 0), ("b", 1)]
     assert rows(H.cross_source_conflicts(df, ["result", "r"]).select("game_id", "versions")) == [("b", 2)]
+
+
+def test_hot_ids_take_the_other_way_to_the_same_result(spark):
+    from tallyboard.operators import joins as D
+
+    data = [(i, "hot" if i % 3 else f"k{i % 7}", f"f{i % 2}") for i in range(300)]
+    df = spark.createDataFrame(data + [(999, None, "f")], "ordinal bigint, id string, fingerprint string")
+    summary = df.groupBy("id").agg(F.max("ordinal").alias("last"), F.count("*").alias("n"))
+    cold = D.join_back(df, summary, ["id"], "n")
+    hot = D.join_back(df, summary, ["id"], "n", hot_rows=20)
+    assert cold.columns == hot.columns == ["ordinal", "id", "fingerprint", "last"]
+    assert sorted(map(tuple, cold.collect())) == sorted(map(tuple, hot.collect()))
+    assert hot.count() == 300
