@@ -60,33 +60,54 @@ def time_control(text: Column | str) -> tuple[Column, Column]:
     return piece(1), piece(2)
 
 
-def parse_utc(date_text: Column | str, time_text: Column | str) -> dict[str, Column]:
-    """``yyyy.MM.dd`` and ``HH:mm:ss`` as date, instant, precision and a validity flag.
+def utc_struct(date_text: Column | str, time_text: Column | str) -> Column:
+    """``yyyy.MM.dd`` and ``HH:mm:ss`` as one struct: date, instant, precision, validity.
 
-    A ``?`` means unknown and gives null. Any other unreadable text is invalid.
+    A ``?`` means unknown and gives null. Any other unreadable text is invalid. The
+    lambdas bind each step, so a text is parsed once though several fields need it.
     """
-    d, t = col(date_text), col(time_text)
-    d = F.when(d.contains("?") | (d == ""), None).otherwise(d)
-    t = F.when(t.contains("?") | (t == ""), None).otherwise(t)
-    shaped = d.rlike(r"^\d{4}\.\d{1,2}\.\d{1,2}\z")
-    day = F.when(shaped, F.try_to_date(d, "yyyy.M.d"))
-    timed = t.rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}\z")
-    instant = F.when(
-        day.isNotNull() & timed,
-        F.try_to_timestamp(F.concat_ws(" ", d, t), F.lit("yyyy.M.d H:m:s")),
-    )
-    invalid = (d.isNotNull() & day.isNull()) | (
-        day.isNotNull() & t.isNotNull() & instant.isNull()
-    )
-    precision = (
-        F.when(instant.isNotNull(), "second").when(day.isNotNull(), "date").otherwise("unknown")
-    )
-    return {
-        "utc_date": day,
-        "played_at": instant,
-        "timestamp_precision": precision,
-        "invalid_utc": F.coalesce(invalid, F.lit(False)),
-    }
+
+    def known(c: Column) -> Column:
+        return F.when(c.contains("?") | (c == ""), None).otherwise(c)
+
+    def dated(x: Column) -> Column:
+        shaped = x.d.rlike(r"^\d{4}\.\d{1,2}\.\d{1,2}\z")
+        day = F.when(shaped, F.try_to_date(x.d, "yyyy.M.d"))
+        return F.struct(x.d.alias("d"), x.t.alias("t"), day.alias("day"))
+
+    def timed(x: Column) -> Column:
+        shaped = x.day.isNotNull() & x.t.rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}\z")
+        at = F.when(
+            shaped,
+            F.try_to_timestamp(F.concat_ws(" ", x.d, x.t), F.lit("yyyy.M.d H:m:s")),
+        )
+        return F.struct(x.d.alias("d"), x.t.alias("t"), x.day.alias("day"), at.alias("at"))
+
+    def finished(x: Column) -> Column:
+        invalid = (x.d.isNotNull() & x.day.isNull()) | (
+            x.day.isNotNull() & x.t.isNotNull() & x["at"].isNull()
+        )
+        precision = (
+            F.when(x["at"].isNotNull(), "second")
+            .when(x.day.isNotNull(), "date")
+            .otherwise("unknown")
+        )
+        return F.struct(
+            x.day.alias("utc_date"),
+            x["at"].alias("played_at"),
+            precision.alias("timestamp_precision"),
+            F.coalesce(invalid, F.lit(False)).alias("invalid_utc"),
+        )
+
+    texts = F.array(F.struct(known(col(date_text)).alias("d"), known(col(time_text)).alias("t")))
+    return F.transform(F.transform(F.transform(texts, dated), timed), finished)[0]
+
+
+def parse_utc(date_text: Column | str, time_text: Column | str) -> dict[str, Column]:
+    """The fields of :func:`utc_struct` as separate columns."""
+    parts = utc_struct(date_text, time_text)
+    names = ("utc_date", "played_at", "timestamp_precision", "invalid_utc")
+    return {n: parts.getField(n) for n in names}
 
 
 def score_from_result(result: Column | str, color: Column | str) -> Column:

@@ -56,14 +56,15 @@ def _(t: Tables):
     return I.run_checks(games, players)
 
 
-DUP = """dd as (select doc_id ordinal, substr(text,1,12) k, sha256(text) fingerprint from documents),
+DUP = """dd as (select doc_id ordinal, lang || ':' || n_chars k, sha256(text) fingerprint from documents),
 df as (select k, min(ordinal) first, min_by(fingerprint, ordinal) fp, count(distinct fingerprint) n from dd group by 1)"""
 
 
 def copies(t: Tables):
+    # Language and length play the id: copies share it, and so do some other texts.
     return t.texts.select(
         F.col("doc_id").alias("ordinal"),
-        F.substring("text", 1, 12).alias("k"),
+        F.concat_ws(":", "lang", F.col("n_chars").cast("string")).alias("k"),
         F.sha2("text", 256).alias("fingerprint"),
     )
 

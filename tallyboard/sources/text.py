@@ -121,7 +121,6 @@ def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
     site = F.regexp_extract(F.coalesce(tag("Site"), F.lit("")), GAME_ID, 1)
     result = F.coalesce(F.col("result"), F.lit(""))
     bare = F.regexp_replace(F.col("body"), r"\{[^}]*\}|;[^\n]*", " ")
-    utc = S.parse_utc(tag("UTCDate"), tag("UTCTime"))
 
     def bad_rating(name: str) -> Column:
         v = F.coalesce(tag(name), F.lit("?"))
@@ -132,10 +131,7 @@ def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
         t,
         game_id=F.nullif(site, F.lit("")),
         result=tag("Result"),
-        utc_date=utc["utc_date"],
-        played_at=utc["played_at"],
-        timestamp_precision=utc["timestamp_precision"],
-        _invalid_utc=utc["invalid_utc"],
+        _utc=S.utc_struct(tag("UTCDate"), tag("UTCTime")),
         base_seconds=base,
         increment_seconds=increment,
         # The last word of the moves once comments are gone.
@@ -151,19 +147,23 @@ def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
         )
         .when(F.col("game_id").isNull() | ~result.isin(*S.RESULTS), "required_header")
         .when(F.col("_last") != result, "missing_or_mismatched_termination")
-        .when(F.col("_invalid_utc"), "invalid_utc")
+        .when(F.col("_utc.invalid_utc"), "invalid_utc")
         .when(bad_rating("WhiteElo") | bad_rating("BlackElo"), "invalid_rating")
     )
     excluded = ("unsupported_variant", "not_rated", "nonstandard_start")
     return (
         bind(staged, reason=reason)
+        .select(
+            "*",
+            *[F.col(f"_utc.{n}") for n in ("utc_date", "played_at", "timestamp_precision")],
+        )
         .withColumn(
             "disposition",
             F.when(F.col("reason").isNull(), "accepted")
             .when(F.col("reason").isin(*excluded), "excluded")
             .otherwise("quarantine"),
         )
-        .drop("_invalid_utc", "_last", "tag_reason", "head")
+        .drop("_utc", "_last", "tag_reason", "head")
     )
 
 
