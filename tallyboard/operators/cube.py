@@ -216,6 +216,43 @@ def games_delta(cube: DataFrame, grain: str, filters: Filters, selected: Sequenc
     return prior_equal_period(known, selected, [], ["games"])
 
 
+def rate_deltas(
+    cube: DataFrame,
+    grain: str,
+    filters: Filters,
+    selected: Sequence[str],
+    counts: Sequence[str] = ("wins", "losses", "draws"),
+    means: Sequence[str] = ("mean_ply", "rating_diff"),
+) -> DataFrame:
+    """Rates and weighted means of the selected months, and their change from the block before.
+
+    A change is the difference of the two figures as shown: percents and means with one
+    decimal. It is null where the blocks cannot be compared.
+    """
+    rows, _ = adaptive_filter(cube, grain, filters, dates=False)
+    known = rows.withColumn("cohort", F.coalesce("cohort", F.lit("warehouse"))).withColumns(
+        {f"_{m}": F.col(m) * F.col("games") for m in means}
+    )
+    got = prior_equal_period(known, selected, [], ["games", *counts, *[f"_{m}" for m in means]])
+
+    def shown(value: Column) -> Column:
+        return F.round(value, 1).cast("decimal(12,1)")
+
+    def figure(name: str, column: str, scale: int) -> Column:
+        now = F.try_divide(F.col(column) * scale, F.col("games"))
+        was = F.try_divide(F.col(f"prior_{column}") * scale, F.col("prior_games"))
+        return F.struct(
+            F.lit(name).alias("figure"),
+            now.cast("double").alias("value"),
+            was.cast("double").alias("prior_value"),
+            (shown(now) - shown(was)).cast("double").alias("shown_delta"),
+        )
+
+    figures = [figure(f"{c}_percent", c, 100) for c in counts]
+    figures += [figure(m, f"_{m}", 1) for m in means]
+    return got.select(F.inline(F.array(*figures)))
+
+
 def dimension_values(cube: DataFrame, column: str, listed_grains: Sequence[str] = ("clock_game",)):
     """Distinct values of a dimension over the aggregate grains."""
     return (

@@ -15,6 +15,11 @@ HOT_ROWS = 1_000_000
 SALTS = 4096
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast only after counting that there are few rows; else let Spark choose."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def join_back(
     df: DataFrame,
     summary: DataFrame,

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyboard.functions.scalars import route_contains
+from tallyboard.operators.joins import broadcast_if_small
 from tallyboard.operators.windows import earliest_visit, running_total, top_n_per_group
+from tallyboard.session import materialize
 
 GAME = ["provider", "game_id"]
 
@@ -73,7 +75,7 @@ def coverage_curve(
 
     A game counts at its earliest rank; cumulative sums of that histogram are the unions.
     """
-    # ``ranks`` has at most k rows.
+    ranks = ranks.where(F.col("rank") <= k)  # so at most k rows are broadcast
     hits = visits.join(F.broadcast(ranks.select("position_id", "rank")), "position_id")
     first = hits.groupBy(*GAME).agg(F.min("rank").alias("n"))
     histogram = first.groupBy("n").agg(F.count("*").alias("additional_games"))
@@ -265,16 +267,19 @@ def route_departure(visits: DataFrame, routes: DataFrame) -> DataFrame:
     """First ply at which each game leaves the reference routes; games that stay are absent.
 
     A game is followed while the moves so far continue some route and do not end one.
-    ``routes`` is the small reference (a few routes for each ranked position).
+    ``routes`` is the reference, usually a few routes for each ranked position; its
+    prefixes are counted before they are broadcast.
     """
-    known = reference_prefixes(routes)  # routes times their length, at most 20 plies each
+    known = materialize(reference_prefixes(routes), "prefixes")
     previous = F.when(F.col("ply") == 1, F.lit("")).otherwise(
         F.regexp_replace("route", r" ?[^ ]+$", "")
     )
-    before = F.broadcast(
+    before = broadcast_if_small(
         known.select(F.col("prefix").alias("_prev"), "continues", "is_endpoint")
     )
-    now = F.broadcast(known.where("is_prefix").select(F.col("prefix").alias("route"), "is_prefix"))
+    now = broadcast_if_small(
+        known.where("is_prefix").select(F.col("prefix").alias("route"), "is_prefix")
+    )
     steps = (
         visits.select(*GAME, "ply", "route", previous.alias("_prev"))
         .join(before, "_prev", "left")

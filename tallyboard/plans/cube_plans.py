@@ -456,6 +456,29 @@ def _(t: Tables):
     return Q.games_delta(stored_cube(t), "game_cell", anything, ["1995-08", "1995-10"])
 
 
+@query(
+    "f09_rate_deltas",
+    """select figure, v as value, pv prior_value, round(v::decimal(18,9),1)::double-round(pv::decimal(18,9),1)::double
+    shown_delta from (select unnest(['wins_percent','losses_percent','draws_percent','mean_ply','rating_diff']) figure,
+    unnest([100.0*w/n, 100.0*l/n, 100.0*d/n, mp/n, rd/n]) v, unnest([100.0*pw/pn, 100.0*pl/pn, 100.0*pd/pn, pmp/pn, prd/pn]) pv
+    from (select count(*) filter (where a)::double n, count(*) filter (where a and score=1)::double w,
+    count(*) filter (where a and score=0)::double l, count(*) filter (where a and score=0.5)::double d,
+    sum(ply_count) filter (where a)::double mp, sum(rating-opponent_rating) filter (where a)::double rd,
+    count(*) filter (where not a)::double pn, count(*) filter (where not a and score=1)::double pw,
+    count(*) filter (where not a and score=0)::double pl, count(*) filter (where not a and score=0.5)::double pd,
+    sum(ply_count) filter (where not a)::double pmp, sum(rating-opponent_rating) filter (where not a)::double prd
+    from (select *, strftime(utc_date,'%Y-%m')='1995-08' a from rr where strftime(utc_date,'%Y-%m') in ('1995-07','1995-08'))))""",
+    "gp mf p",
+    CELLS,
+)
+def _(t: Tables):
+    cells = X.result_cells(t.players, t.games_plies, minimum=1).withColumn(
+        "grain", F.lit("result_cell")
+    )
+    anything = Q.Filters(WIDE.start, WIDE.end)
+    return Q.rate_deltas(A.align_cube(cells), "result_cell", anything, ["1995-08"])
+
+
 CLOCK_GAMES = f"""cg as (select distinct game_id game_key, utc_date period_start, time_control, color,
   {RATING_SQL.replace('rating', 'own')} rating_band, family opening_family, trim(source_opening) opening_line,
   clock_bucket clock_band, white_rating, black_rating from (select cl.*, g.source_opening,

@@ -5,6 +5,7 @@ They are rounded on both sides, so that the order of a sum does not show.
 
 PLACES = 9
 DOUBLES = {
+    "f09_rate_deltas": "value prior_value shown_delta",
     "e01_draw_rate": "draw_rate",
     "e02_usage_share": "value",
     "e02_usage_share_grouped": "value",

@@ -18,7 +18,7 @@ from tallyboard.plans.catalog import query
 from tallyboard.plans.cube_plans import CUBE, CUBE_VIEWS, stored_cube
 from tallyboard.plans.facts import MOVE_EVALS_SQL, PLAYER_FLAGS_SQL
 from tallyboard.schemas import FACT_PLAYER_GAME
-from tallyboard.session import scratch_path
+from tallyboard.session import materialize, scratch_path
 from tallyboard.sources import tables as A
 from tallyboard.sources import text as X
 
@@ -515,6 +515,30 @@ def _(t: Tables):
     return counts
 
 
+@query(
+    "a05_resolved_copies",
+    """select disposition, reason, count(*) records from (
+    select disposition, reason from kc union all
+    select case when reason is null then 'duplicate' else disposition end, coalesce(reason,'identical_game')
+    from kc where k%10=0 union all
+    select case when reason is null then 'conflict' else disposition end, coalesce(reason,'conflicting_game')
+    from kc where k%25=0) group by 1,2""",
+    "",
+    CLASSIFIED,
+)
+def _(t: Tables):
+    k, far = F.col("ordinal"), 10**12
+    twice = t.records.where(k % 10 == 0).withColumn("ordinal", k + far)
+    other = t.records.where(k % 25 == 0).select(
+        (k + 2 * far).alias("ordinal"),
+        F.replace("record", F.lit("2. Nf3"), F.lit("2. Nc3")).alias("record"),
+    )
+    records = t.records.unionByName(twice).unionByName(other)
+    stored = materialize(X.classify_record(records), "classified")
+    _, _, counts = X.route_dispositions(X.resolve_copies(stored))
+    return counts
+
+
 @query(
     "a05_set_aside",
     "select k ordinal, disposition, reason, true kept_text from kc where disposition<>'accepted'",

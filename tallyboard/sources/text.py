@@ -167,6 +167,30 @@ def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
     )
 
 
+def resolve_copies(classified: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """Accepted records that repeat an earlier id become duplicates or conflicts.
+
+    The first record of an id stays accepted; a later one is a duplicate if its whole text
+    is the same, else a conflict. ``classified`` is read three times: give a stored table.
+    """
+    from tallyboard.operators.dedupe import dedupe_or_conflict
+
+    accepted = F.col("disposition") == "accepted"
+    marked = classified.where(accepted).select(
+        "game_id", ordinal, S.fingerprint(F.trim(F.col("record")).alias("text")).alias("_print")
+    )
+    status = dedupe_or_conflict(marked, ["game_id"], "_print", ordinal).select(ordinal, "status")
+    reason = F.when(F.col("status") == "duplicate", "identical_game").when(
+        F.col("status") == "conflict", "conflicting_game"
+    )
+    return (
+        classified.join(status, ordinal, "left")
+        .withColumn("disposition", F.coalesce("status", "disposition"))
+        .withColumn("reason", F.coalesce("reason", reason))
+        .drop("status")
+    )
+
+
 def record_games(classified: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Typed game rows of the accepted records. Ply counts need a replay and are left out."""
 

@@ -200,3 +200,43 @@ def test_family_expression_matches_cells(cube):
     assert [r[0] for r in Q.dimension_values(df, "opening_family").collect()] == ["A"]
     assert tuple(Q.date_bounds(df).first()) == (dt.date(2024, 1, 1), dt.date(2024, 3, 31))
     assert family("x") is not None
+
+
+def test_band_may_match_a_published_sub_band(spark):
+    day = dt.date(2024, 1, 1)
+    df = A.align_cube(spark.createDataFrame([("g", day, day, "1400_1599", 5), ("g", day, day, "1600_1999", 7)],
+                                            "grain string, period_start date, period_end date, rating_band string, games bigint"))
+    rows, missing = Q.adaptive_filter(df, "g", Q.Filters(day, day, rating_band="1200_1599"))
+    assert [r.games for r in rows.collect()] == [5] and missing == []
+
+
+def test_clock_rows_widen_only_when_the_dates_are_not_covered(spark):
+    day = dt.date(2024, 1, 10)
+    df = A.align_cube(spark.createDataFrame([("clock_cell", day, day, "60+0", "white", 9)],
+                                            "grain string, period_start date, period_end date, time_control string, color string, moves bigint"))
+    read = lambda **f: Q.clock_rows_with_fallback(df, "clock_cell", Q.Filters(**f))
+    year, late = dict(start=dt.date(2024, 1, 1), end=dt.date(2024, 12, 31)), dict(start=dt.date(2025, 1, 1), end=dt.date(2025, 2, 1))
+    rows, widened, names = read(**year)
+    assert rows.count() == 1 and not widened
+    rows, widened, names = read(**late, time_control="60+0", color="black")
+    assert rows.count() == 1 and widened
+    rows, widened, names = read(**late, time_control="1+1")
+    assert rows.count() == 0 and not widened and names == ["time_control"]
+    rows, widened, names = read(**year, time_control="60+0", color="black")
+    assert rows.count() == 0 and not widened and names == ["time_control"]
+
+
+def test_rate_deltas_subtract_what_is_shown(spark):
+    def cell(period, end, games, wins, ply):
+        return ("r", "w", period, dt.date.fromisoformat(period + "-01"), dt.date.fromisoformat(end), games, wins, games - wins, 0, ply, 0.0)
+
+    df = A.align_cube(spark.createDataFrame(
+        [cell("2024-07", "2024-07-31", 300, 100, 40.04), cell("2024-08", "2024-08-31", 300, 110, 40.16)],
+        "grain string, cohort string, period string, period_start date, period_end date, games bigint, wins bigint, "
+        "losses bigint, draws bigint, mean_ply double, rating_diff double"))
+    every = Q.Filters(dt.date(2024, 1, 1), dt.date(2024, 12, 31))
+    got = {r.figure: r.shown_delta for r in Q.rate_deltas(df, "r", every, ["2024-08"]).collect()}
+    # 36.7 - 33.3 and 40.2 - 40.0, not the differences of the unrounded figures.
+    assert abs(got["wins_percent"] - 3.4) < 1e-12 and abs(got["mean_ply"] - 0.2) < 1e-12
+    none = {r.figure: r.shown_delta for r in Q.rate_deltas(df, "r", every, ["2024-07"]).collect()}
+    assert set(none.values()) == {None}
