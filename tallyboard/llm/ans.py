@@ -142,7 +142,7 @@ def _pieces(data: bytes) -> pretoken.Pieces:
     def encode(pieces):
         return [e.ids for e in own.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return pretoken.Pieces(encode)
+    return pretoken.Pieces(encode, 800_000)
 
 
 def tokenize(df: DataFrame, tokenizer: bytes, end_id: int, parts: int | None = None) -> DataFrame:
