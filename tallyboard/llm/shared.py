@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -77,6 +78,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and ASCII punctuation.
+PUNCTUATION = _WHITE | np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
 with np.errstate(over="ignore"):
     _BYTE = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -93,28 +96,36 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, between: np.ndarray = _WHITE, head: int = 0):
     """64-bit hashes of the words of all texts, and where each text's words begin.
 
-    A-Z count as a-z; words are the runs of bytes other than space and 0x09-0x0D. Text i
-    owns ``hashes[bounds[i]:bounds[i + 1]]``. A null text has no words.
+    A-Z count as a-z; words are the runs of bytes other than those marked in ``between``
+    (space and 0x09-0x0D by default). Text i owns ``hashes[bounds[i]:bounds[i + 1]]``. A
+    null text has no words. With ``head``, hashes of the first ``head`` bytes of each word
+    come third.
     """
+    found = _hash_words(texts, between, head)
+    return found if head else found[:2]
+
+
+def _hash_words(texts: pa.Array, between: np.ndarray, head: int):
     joined = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
     data = joined.buffers()[2]
     low, high = int(offsets[0]), int(offsets[-1])
+    none = np.zeros(0, np.uint64), np.zeros(len(joined) + 1, np.int64), np.zeros(0, np.uint64)
     if high == low:
-        return np.zeros(0, np.uint64), np.zeros(len(joined) + 1, np.int64)
+        return none
     raw = np.frombuffer(data, np.uint8)[low:high]
     offsets = offsets - low
-    white = _WHITE[raw]
+    white = between[raw]
     fresh = np.zeros(len(raw) + 1, bool)
     fresh[offsets] = True
     begins = ~white
     begins[1:] &= white[:-1] | fresh[1:-1]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(joined) + 1, np.int64)
+        return none
     inside = np.flatnonzero(~white)
     # Where each word begins among the bytes that are in words.
     at = np.cumsum(~white)[starts] - 1
@@ -123,7 +134,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         parts = _BYTE[_LOWER[raw[inside]]] * _powers(int(lengths.max()) + 1)[place]
         hashes = splitmix(np.add.reduceat(parts, at) + lengths.astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+        heads = splitmix(np.add.reduceat(np.where(place < head, parts, 0), at)) if head else none[2]
+    return hashes, np.searchsorted(starts, offsets).astype(np.int64), heads
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
