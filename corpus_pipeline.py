@@ -8,7 +8,11 @@ from tallyboard.llm import stages
 from tallyboard.llm.shared import stage_table, table
 
 STAGES = [
-    ("bpe", stages.bpe),
+    ("toxicity", stages.clean),
+    ("line dedup", stages.lines),
+    ("n-gram Jaccard join", stages.near_copies),
+    ("benchmark decontamination", stages.leaks),
+    ("byte-level BPE", stages.encoded),
 ]
 #: SQL cannot state a trained classifier or byte-pair merges; tests hold the stages
 #: against brute force.

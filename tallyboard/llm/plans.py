@@ -15,6 +15,7 @@ from tallyboard.llm import (
     line_dedup,
     quality,
     secrets,
+    substring_dedup,
     toxicity,
 )
 
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_importance_resample": quality.op7,
     "op8_toxicity": toxicity.op8,
     "op9_fingerprint": fingerprint.op9,
+    "op10_substring_dedup": substring_dedup.op10,
 }
 ORACLES: dict[str, str] = {}

@@ -1,20 +1,57 @@
-"""Stages of the corpus pipeline: ``(spark, docs, sf_dir)`` to the documents kept."""
+"""Stages of the corpus pipeline: ``(spark, docs, sf_dir)`` to the documents kept.
+
+All but the last return the columns of their input. Null and empty texts are kept by every
+stage; rows are never dropped for their size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import byte_bpe
-from tallyboard.llm.shared import reach
+from tallyboard.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
+from tallyboard.llm.shared import reach, table
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic; it is fitted on those at hand."""
+    reach(spark)
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    names = [next(n for n in (base + "_" * i for i in range(99)) if n not in docs.columns) for base in ("score", "toxic")]
+    return toxicity.score(docs, net, tuple(names)).where(f"`{names[1]}` = 0").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go; a document that loses all its lines goes."""
+    out = line_dedup.dedup_lines(docs)
+    kept = out.where("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-copies the document with the smallest doc_id stays.
+
+    Repeated rows of one doc_id stay once; documents without words or doc_id all stay.
+    """
+    reach(spark)
+    found = jaccard_join.near_components(docs)
+    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
-def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: every document with its ids and the digests of ids and text."""
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: every document with its ids and the digests of ids and bytes."""
     import public_tokenizers
 
     reach(spark)
     vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = byte_bpe.encode(docs, vocabulary)
-    coded = byte_bpe.digests(byte_bpe.decode(encoded, vocabulary))
-    return coded.drop("ends", "decoded", "ids").withColumn("n_tokens", F.col("n_tokens"))
+    coded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary)
+    return byte_bpe.digests(coded).drop("ends", "decoded", "text")
