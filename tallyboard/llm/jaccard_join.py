@@ -10,9 +10,11 @@ by themselves and their counts are summed, per document and per pair:
    n // 4 shingles of a class may be missing in it.
 3. Of those, shingles are ordered from rare to common. Two linked classes share a shingle
    among the first n - ceil(0.75 n) + 1 of each. Classes with such a shingle in common are
-   first compared with one leader of the shingle, then, across components only, with each
-   other; so one large group of near copies is not compared pair by pair, and no link
-   between components is passed over.
+   first compared with one leader of the shingle, the class with the smallest share of
+   shingles of its own, and then, across components only, with each other. Pairs whose
+   sizes and places of the shingle leave too little to share are left out. So one large
+   group of near copies is not compared pair by pair, and no link between components is
+   passed over.
 4. A pair's overlap is counted fragment by fragment and summed.
 
 Sets are sets of 64-bit hashes. A null text, and one without words, has an empty set and is
@@ -208,15 +210,18 @@ def sets_table(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``s1, n, h``: of each class, the shared shingles among its first n - ceil(0.75 n) + 1
-    from rare to common."""
+    """``s1, n, own, h, p``: of each class, the share of shingles that no other has, and the
+    shared shingles among its first n - ceil(0.75 n) + 1 from rare to common, with the
+    number of shingles before each."""
     each = sets.select("s1", "n", F.explode("hashes").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     joined = each.join(common, "h")
     ranked = joined.groupBy("s1", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("by"))
     # Shingles of one class alone come first in the order and give no pair.
     keep = F.greatest(F.lit(0), F.expr("n - (3 * n + 3) div 4 + 1 - (n - size(by))")).cast("int")
-    return ranked.select("s1", "n", F.explode(F.slice("by", 1, keep)).alias("t")).select("s1", "n", "t.h")
+    own = (F.col("n") - F.size("by")) / F.col("n")
+    first = ranked.select("s1", "n", own.alias("own"), (F.col("n") - F.size("by")).alias("u"), F.posexplode(F.slice("by", 1, keep)).alias("i", "t"))
+    return first.select("s1", "n", "own", "t.h", (F.col("u") + F.col("i")).alias("p"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,34 +236,48 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def link(sets: DataFrame) -> DataFrame:
-    """Links (``a, b``) between classes that join all components; see the module."""
-    rows = stage_table(prefixes(sets), "prefixes")
-    near = "4 * least(n, m) >= 3 * greatest(n, m)"
-    leaders = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("s1").alias("r"), "s1", "n")).alias("t")).select(
-        "h", F.col("t.s1").alias("b"), F.col("t.n").alias("m")
-    )
-    stars = rows.join(leaders, "h").where(f"s1 <> b and {near}").select(
-        F.greatest("s1", "b").alias("a"), F.least("s1", "b").alias("b")
-    ).distinct()
-    first = stage_table(overlaps(stars, sets), "links")
-    roots = components(first)
-    tagged = stage_table(
-        rows.join(roots.withColumnRenamed("node", "s1"), "s1", "left").select(
-            "h", "s1", "n", F.coalesce("root", "s1").alias("c")
-        ),
-        "tagged",
+#: If ``h`` is the first shingle that two classes have in common, those from ``h`` on bound
+#: the overlap, which must be 3/7 of the sum of the sizes. A linked pair keeps its first one.
+NEAR = "7 * least(n - p, m - q) >= 3 * (n + m)"
+
+
+def _pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
+    """Distinct pairs (``a > b``) of classes of ``left`` (s1) and ``right`` (b) that share
+    ``h``, differ, and can overlap enough from ``h`` on."""
+    joined = left.join(right, "h").where(f"s1 <> b and {NEAR} and ({condition})")
+    return joined.select(F.greatest("s1", "b").alias("a"), F.least("s1", "b").alias("b")).distinct()
+
+
+def _leaders(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The class with the smallest share of own shingles in each group."""
+    best = F.min(F.struct("own", F.xxhash64("s1").alias("r"), "s1", "n", "p"))
+    return rows.groupBy(*by).agg(best.alias("t")).select(
+        *by, F.col("t.s1").alias("b"), F.col("t.n").alias("m"), F.col("t.p").alias("q")
     )
-    # The component with most members of a shingle needs no pairs of its own.
+
+
+def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` of shingles that several components have, with their component ``c`` and the
+    component ``major`` that has most rows of the shingle."""
+    roots = components(links).withColumnRenamed("node", "s1")
+    tagged = rows.join(roots, "s1", "left").withColumn("c", F.coalesce("root", "s1")).drop("root")
+    tagged = stage_table(tagged, "tagged")
     sizes = tagged.groupBy("h", "c").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("h").agg(F.max(F.struct("k", "c")).alias("t"), F.count("*").alias("parts")).where("parts > 1")
-    members = tagged.join(mixed.select("h", F.col("t.c").alias("major")), "h")
-    few = members.where("c <> major")
-    other = members.select("h", F.col("s1").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), "major")
-    cross = few.drop("major").join(other, "h").where(f"c <> d and (d = major or s1 < b) and {near}").select(
-        F.greatest("s1", "b").alias("a"), F.least("s1", "b").alias("b")
-    ).distinct().join(stars, ["a", "b"], "left_anti")
-    return first.unionByName(stage_table(overlaps(cross, sets), "links"))
+    return stage_table(tagged.join(mixed.select("h", F.col("t.c").alias("major")), "h"), "mixed")
+
+
+def link(sets: DataFrame) -> DataFrame:
+    """Links (``a, b``) between classes that join all components; see the module."""
+    rows = stage_table(prefixes(sets), "prefixes")
+    tried = stage_table(_pairs(rows, _leaders(rows, ["h"]), "true"), "pairs")
+    links = stage_table(overlaps(tried, sets), "links")
+    # What is left is compared across components; the largest needs no pairs of its own.
+    rows = _mixed(rows, links)
+    other = rows.select("h", F.col("s1").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("c").alias("d"))
+    few = rows.where("c <> major").select("h", "s1", "n", "p", "c", "major")
+    cross = _pairs(few, other, "c <> d and (d = major or s1 < b)").join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(overlaps(stage_table(cross, "pairs"), sets))
 
 
 def near_components(df: DataFrame) -> DataFrame:
