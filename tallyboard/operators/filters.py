@@ -135,7 +135,7 @@ def training_policy(
     index: DataFrame,
     *,
     minimum_rating: int = 1000,
-    minimum_plies: int = 3,
+    minimum_plies: int = 20,
     excluded_periods: Sequence[str] = ("2013-01",),
     elite_cohort: str = "elite_reference",
     elite_low: int = 2300,
@@ -160,12 +160,10 @@ def training_policy(
     )
 
 
-def lens_games(visits: DataFrame, first: str, moves: Sequence[str]) -> DataFrame:
-    """Games whose route at their last ply in the window starts with ``first`` and has all moves."""
-    last = visits.groupBy("provider", "game_id").agg(F.max("ply").alias("ply"))
-    ends = visits.select("provider", "game_id", "ply", "route").join(
-        last, ["provider", "game_id", "ply"]
-    )
+def lens_games(visits: DataFrame, first: str, moves: Sequence[str], ply: int = 20) -> DataFrame:
+    """Games that reach ``ply``, the last of the window, with a route there that starts with
+    ``first`` and has all moves. Shorter games are left out."""
+    ends = visits.where(F.col("ply") == ply)
     hit = ends.where(route_contains_all("route", first, moves))
     return hit.select("provider", "game_id").distinct()
 

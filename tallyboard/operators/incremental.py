@@ -53,12 +53,17 @@ def content_checksum(df: DataFrame) -> DataFrame:
     """Row count and order-free digest sums of a table's content.
 
     Two 60-bit parts of each row's SHA-256 are summed exactly, so equal tables agree
-    however they are partitioned and a changed, lost or repeated row shows.
+    however they are partitioned and a changed, lost or repeated row shows. A row is
+    written as its column names and values, each with its length before it; a null is a
+    bare mark that no length can be.
     """
-    parts = [
-        F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)
-    ]
-    row = F.concat_ws("|", *parts)
+
+    def part(name: str):
+        value = F.col(name).cast("string")
+        held = F.concat(F.length(value).cast("string"), F.lit(":"), value)
+        return F.concat(F.lit(f"{len(name)}:{name}="), F.coalesce(held, F.lit("-")))
+
+    row = F.concat(*[part(c) for c in sorted(df.columns)])
     digest = F.sha2(row, 256)
 
     def total(start: int):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyboard.functions.scalars import LOSS_CAP, clamp, surrogate_key
 from tallyboard.operators.filters import game_eligibility, staged_games
@@ -15,9 +16,13 @@ HOT_ROWS = 1_000_000
 SALTS = 4096
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that there are few rows; else let Spark choose."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _hashable(kind: T.DataType) -> bool:
+    """Whether a value of this type has a hash: maps, and what holds one, have none."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def join_back(
@@ -46,7 +51,7 @@ def join_back(
         *[F.col(v).alias(f"_cold_{v}") for v in values],
     )
     # Equal copies differ by the task that reads them; both parts are the same on a retry.
-    digest = F.xxhash64(*[F.col(c) for c in df.columns])
+    digest = F.xxhash64(*[F.col(f.name) for f in df.schema if _hashable(f.dataType)])
     spread = F.pmod(digest.bitwiseXOR(F.spark_partition_id().cast("bigint")), F.lit(SALTS)) + 1
     marked = df.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("bigint")

@@ -49,7 +49,12 @@ def run_checks(
     provider: str | None = None,
     id_length: int | None = None,
 ) -> DataFrame:
-    """The fact-table rules as rows (check, failures)."""
+    """The fact-table rules as rows (check, failures).
+
+    Both tables are read once and summed per game, players by color first; the two sums
+    meet in one join. Ratings are compared per game, for a color with several rows by the
+    largest pair.
+    """
 
     def bad(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(True))
@@ -72,46 +77,64 @@ def run_checks(
         | F.col("record_fingerprint").isNull()
         | unless(F.col("ply_count") >= 0)
     )
-    game_keys = games.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    player_keys = players.groupBy(*KEYS, "color").agg(F.count("*").alias("n"))
-    per_game = players.groupBy(*KEYS).agg(
-        F.count("color").alias("rows"),
-        (
-            (F.count_if(F.col("color") == "white") > 0).cast("int")
-            + (F.count_if(F.col("color") == "black") > 0).cast("int")
-        ).alias("colors"),
+    results = [*RESULTS, None]  # None: any other result, which gives no score
+    own = games.groupBy(*KEYS).agg(
+        F.count("*").alias("games"),
+        F.count_if(required).alias("required"),
+        *[
+            F.count_if(F.col("result") == r if r else ~F.coalesce(F.col("result").isin(*RESULTS), F.lit(False))).alias(f"r{i}")
+            for i, r in enumerate(results)
+        ],
+    )
+    # Rows by color, of which right under each result; one row per game and color, then per game.
+    by_color = players.groupBy(*KEYS, "color").agg(
+        F.count("*").alias("n"),
+        F.count("score").alias("scored"),
         F.sum("score").alias("total"),
+        F.count_if(F.col("score") == 1).alias("won"),
+        F.count_if(F.col("score") == 0).alias("lost"),
+        F.max(F.struct("rating", "opponent_rating")).alias("ratings"),
+        *[
+            F.count_if(
+                F.col("color").isin("white", "black")
+                & F.col("score").eqNullSafe(score_from_result(F.lit(r), "color"))
+            ).alias(f"right{i}")
+            for i, r in enumerate(results)
+        ],
     )
-    paired = game_keys.join(per_game, KEYS, "left")
-    scored = players.join(games.select(*KEYS, "result"), KEYS)
-    wrong_score = unless(F.col("color").isin("white", "black")) | ~F.col("score").eqNullSafe(
-        score_from_result("result", "color")
+    sides = {c: F.max(F.when(F.col("color") == c, F.col("ratings"))).alias(c) for c in ("white", "black")}
+    per_game = by_color.groupBy(*KEYS).agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("color").isNotNull(), F.col("n"))).alias("colored"),
+        F.count_if(F.col("n") != 1).alias("repeated"),
+        F.count_if(F.col("color").isin("white", "black")).alias("colors"),
+        *[F.sum(c).alias(c) for c in ("total", "won", "lost", *(f"right{i}" for i in range(len(results))))],
+        *sides.values(),
     )
-    return union(
-        [
-            _one("unique_game_keys", game_keys.where("n <> 1")),
-            _one("unique_player_keys", player_keys.where("n <> 1")),
-            _unfold(games, {"required_game_fields": F.count_if(required)}),
-            _one(
-                "two_participants",
-                paired.where(
-                    (F.coalesce(F.col("rows") * F.col("n"), F.lit(0)) != 2)
-                    | (F.coalesce("colors", F.lit(0)) != 2)
-                ),
-            ),
-            _one("no_orphans", orphans(players, games)),
-            _one("participant_scores", scored.where(wrong_score)),
-            _one("score_conservation", per_game.where("total is not null and total <> 1")),
-            _unfold(
-                players,
-                {
-                    "wins_equal_losses": F.abs(
-                        F.count_if(F.col("score") == 1) - F.count_if(F.col("score") == 0)
-                    )
-                },
+    both = own.join(per_game, KEYS, "full_outer")
+    pairs = F.coalesce(F.col("colored") * F.col("games"), F.lit(0))
+    wrong = sum(
+        (F.col(f"r{i}") * (F.col("rows") - F.col(f"right{i}")) for i in range(len(results))), F.lit(0)
+    )
+    uneven = ~F.col("white.rating").eqNullSafe(F.col("black.opponent_rating")) | ~F.col(
+        "black.rating"
+    ).eqNullSafe(F.col("white.opponent_rating"))
+    found = F.col("games").isNotNull()
+    return _unfold(
+        both,
+        {
+            "unique_game_keys": F.count_if(F.col("games") != 1),
+            "unique_player_keys": F.sum("repeated"),
+            "required_game_fields": F.sum("required"),
+            "two_participants": F.count_if(found & ((pairs != 2) | (F.coalesce("colors", F.lit(0)) != 2))),
+            "no_orphans": F.sum(F.when(~found, F.col("rows"))),
+            "participant_scores": F.sum(wrong),
+            "score_conservation": F.count_if(F.col("total") != 1),
+            "wins_equal_losses": F.abs(F.sum("won") - F.sum("lost")),
+            "rating_symmetry": F.count_if(
+                F.col("white").isNotNull() & F.col("black").isNotNull() & uneven
             ),
-            _one("rating_symmetry", rating_asymmetries(players)),
-        ]
+        },
     )
 
 
@@ -252,11 +275,11 @@ def public_check(
     forbidden: Sequence[str] = FORBIDDEN_PARTS,
     leak: str = LEAK_PATTERN,
 ) -> DataFrame:
-    """Per column: forbidden name, leaking text, values outside an allowlist or pattern."""
+    """Per column: forbidden name (in any case), leaking text, values outside an allowlist or pattern."""
     counts: dict[str, Column] = {}
     for f in df.schema:
         c = F.col(f.name)
-        if any(part in f.name for part in forbidden):
+        if any(part.casefold() in f.name.casefold() for part in forbidden):
             counts[f"name:{f.name}"] = F.count("*")
         if isinstance(f.dataType, T.StringType):
             counts[f"leak:{f.name}"] = F.count_if(c.rlike(leak))

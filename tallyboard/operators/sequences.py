@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyboard.functions.scalars import route_contains
-from tallyboard.operators.joins import broadcast_if_small
 from tallyboard.operators.windows import earliest_visit, running_total, top_n_per_group
 from tallyboard.session import materialize
 
@@ -268,18 +267,18 @@ def route_departure(visits: DataFrame, routes: DataFrame) -> DataFrame:
 
     A game is followed while the moves so far continue some route and do not end one.
     ``routes`` is the reference, usually a few routes for each ranked position; its
-    prefixes are counted before they are broadcast.
+    prefixes are stored, so Spark knows their size when it chooses the joins. ``visits``
+    must hold every game from ply 1 on: a table that begins later is refused.
     """
+    starts = visits.groupBy(*GAME).agg(F.min("ply").alias("first")).where("first > 1")
+    if not starts.isEmpty():
+        raise ValueError("route_departure needs every game from ply 1 on")
     known = materialize(reference_prefixes(routes), "prefixes")
     previous = F.when(F.col("ply") == 1, F.lit("")).otherwise(
         F.regexp_replace("route", r" ?[^ ]+$", "")
     )
-    before = broadcast_if_small(
-        known.select(F.col("prefix").alias("_prev"), "continues", "is_endpoint")
-    )
-    now = broadcast_if_small(
-        known.where("is_prefix").select(F.col("prefix").alias("route"), "is_prefix")
-    )
+    before = known.select(F.col("prefix").alias("_prev"), "continues", "is_endpoint")
+    now = known.where("is_prefix").select(F.col("prefix").alias("route"), "is_prefix")
     steps = (
         visits.select(*GAME, "ply", "route", previous.alias("_prev"))
         .join(before, "_prev", "left")

@@ -276,13 +276,18 @@ def reliability(
     observed: str = "label",
     count: str | None = None,
 ) -> DataFrame:
-    """Equal-width bins with 1.0 in the last; means weighted by count; empty bins stay, null."""
+    """Equal-width bins with 1.0 in the last; means weighted by count; empty bins stay, null.
+
+    A probability that is null, not a number or outside 0 to 1 is refused: the job fails.
+    """
     weight = F.lit(1) if count is None else F.col(count)
-    p = F.col(predicted)
+    given = F.col(predicted)
+    p = F.when(given.between(0, 1), given).otherwise(
+        F.raise_error(F.lit(f"{predicted} must be a number from 0 to 1")).cast("double")
+    )
     index = F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int")
     sums = (
-        scored.where(p.between(0, 1))
-        .groupBy(index.alias("bin"))
+        scored.groupBy(index.alias("bin"))
         .agg(
             F.sum(weight).alias("count"),
             F.sum(p * weight).alias("_p"),
@@ -589,40 +594,42 @@ def passes_per_repeat(rows: DataFrame) -> DataFrame:
     )
 
 
-MEDIAN_BINS = 65_536
+#: Ranks of approximate quantiles are off by at most rows / ACCURACY.
+ACCURACY = 10_000
 
 
 def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per group without bringing a group into one task.
 
-    Values are counted in equal-width bins between the group's ends; only the bins that
-    hold the middle ranks are then ordered, by distinct value.
+    Approximate quantiles on both sides of the middle bracket it; values below the bracket
+    are counted, those above left out, and only the few in it (about rows / 2,500, by
+    distinct value) are ordered. Values far out change nothing.
     """
     keys = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ends = rows.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")
+    sides = [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY]
+    brackets = rows.groupBy(*keys).agg(
+        F.percentile_approx("_v", sides, ACCURACY).alias("_q"), F.count("*").alias("_n")
     )
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / MEDIAN_BINS)
     # Values are counted first, so a value that many rows share is one row from here on.
     counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    binned = join_back(counted, ends.withColumn("_rows", F.col("_n")), keys, "_rows").withColumn(
-        "_bin", F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(0))
-    )
-    sizes = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    low_rank, high_rank = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    cum = sizes.withColumn("_to", F.sum("_s").over(upto)).withColumn(
-        "_before", F.col("_to") - F.col("_s")
-    )
-    middle = cum.where((F.col("_before") < high_rank) & (F.col("_to") >= low_rank)).select(
-        *keys, "_bin", "_before"
-    )
-    inside = binned.join(middle, [*keys, "_bin"])
-    run = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(run)).withColumn(
+    spread = join_back(counted, brackets.withColumn("_rows", F.col("_n")), keys, "_rows")
+    inside = F.when(F.col("_v") >= F.col("_q")[0], F.col("_v"))
+    few = (
+        spread.where(F.col("_v") <= F.col("_q")[1])
+        .groupBy(*keys, inside.alias("_v"))
+        .agg(F.sum("_c").alias("_c"), F.max("_n").alias("_n"))
+    )
+    # The one row of all values below comes first.
+    run = (
+        Window.partitionBy(*keys)
+        .orderBy(F.col("_v").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    placed = few.withColumn("_end", F.sum("_c").over(run)).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
+    low_rank, high_rank = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     hit = lambda r: F.max(F.when((F.col("_start") < r) & (F.col("_end") >= r), F.col("_v")))
     return placed.groupBy(*keys).agg(((hit(low_rank) + hit(high_rank)) / 2).alias(name))
 
@@ -692,33 +699,35 @@ def repeat_outcomes(rows: DataFrame, conditions: Sequence[str], repeats: int) ->
     )
 
 
-PARETO_BINS = 4096
+PARETO_BINS = 256
 
 
 def pareto_frontier(runs: DataFrame, cost: str = "cost", rate: str = "rate", key: str = "run"):
     """Runs that no cheaper or equally cheap run matches or beats on the rate.
 
-    The best rate of every cheaper bin of costs is found first, so only rows of one bin
-    are ever ordered together.
+    One run per cost remains first. Costs are then cut at approximate quantiles, and the
+    best rate of all cheaper parts is found before, so a task orders one part of them
+    wherever they lie. Runs without a cost or rate are on no frontier.
     """
-    ends = runs.agg(F.struct(F.min(cost).alias("lo"), F.max(cost).alias("hi"))).scalar()
-    width = (F.col("_e.hi") - F.col("_e.lo")) / PARETO_BINS
-    bin_ = F.when(width > 0, F.floor((F.col(cost) - F.col("_e.lo")) / width)).otherwise(0)
-    rows = runs.withColumn("_e", ends).withColumn("_bin", bin_).drop("_e")
-    best = rows.groupBy("_bin").agg(F.max(rate).alias("_m"))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    cheaper = best.select("_bin", F.max("_m").over(before).alias("_before"))
-    within = (
-        Window.partitionBy("_bin")
-        .orderBy(F.col(cost), F.col(rate).desc(), F.col(key))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    known = runs.where(F.col(cost).isNotNull() & F.col(rate).isNotNull())
+    best = known.groupBy(F.col(cost).alias("_cost")).agg(
+        F.min_by(F.struct(*runs.columns), F.struct((-F.col(rate)).alias("r"), F.col(key).alias("k"))).alias("_row")
     )
-    # At most 4,097 bins.
-    joined = rows.join(F.broadcast(cheaper), "_bin").withColumn(
-        "_here", F.max(rate).over(within)
+    costs = best.agg(
+        F.percentile_approx("_cost", [i / PARETO_BINS for i in range(1, PARETO_BINS)], ACCURACY).alias("q")
+    ).scalar()
+    rows = best.withColumn("_q", costs).select(
+        "_cost", "_row", F.size(F.filter("_q", lambda q: q < F.col("_cost"))).alias("_bin")
     )
+    value = F.col(f"_row.{rate}")
+    tops = rows.groupBy("_bin").agg(F.max(value).alias("_m"))
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    cheaper = tops.select("_bin", F.max("_m").over(before).alias("_before"))
+    within = Window.partitionBy("_bin").orderBy("_cost").rowsBetween(Window.unboundedPreceding, -1)
+    # At most PARETO_BINS rows.
+    joined = rows.join(F.broadcast(cheaper), "_bin").withColumn("_here", F.max(value).over(within))
     top = F.greatest(F.coalesce("_before", F.lit(-1.0)), F.coalesce("_here", F.lit(-1.0)))
-    return joined.where(F.col(rate) > top).drop("_bin", "_before", "_here")
+    return joined.where(value > top).select("_row.*")
 
 
 def headline_cohort(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,38 +31,41 @@ def number_rows(
     earlier blocks. There can be at most ``rows / hot_rows`` hot keys.
     """
     keys = list(keys)
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
+    # One count per key and block gives the totals of the keys and the shifts of the blocks.
+    sizes = df.groupBy(*keys, block.cast("bigint").alias("_block")).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        sizes.withColumn("_total", F.sum("_n").over(whole))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .where(F.col("_total") > hot_rows)
+        .select(*keys, "_block", "_shift")
+    )
     # At most rows/hot_rows keys (1M for 10^12 rows), so the broadcast stays small.
-    marked = df.join(
-        F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left"
-    ).withColumn("_block", F.when(F.col("_hot"), block.cast("bigint")).otherwise(F.lit(0)))
+    hot = shifts.select(*keys).distinct().withColumn("_hot", F.lit(True))
+    marked = df.join(F.broadcast(hot), keys, "left").withColumn(
+        "_block", F.when(F.col("_hot"), block.cast("bigint")).otherwise(F.lit(0))
+    )
     local = F.row_number().over(
         Window.partitionBy(*keys, "_block").orderBy(*[col(c) for c in order])
     )
-    sizes = (
-        df.join(F.broadcast(hot), keys, "left_semi")
-        .groupBy(*keys, block.cast("bigint").alias("_block"))
-        .agg(F.count("*").alias("_n"))
-    )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    shifts = sizes.select(*keys, "_block", F.sum("_n").over(before).alias("_shift"))
+    # Rows lie by key and block already: only the shifts move.
     numbered = marked.withColumn("_local", local).join(shifts, [*keys, "_block"], "left")
     return numbered.withColumn(
         name, (F.col("_local") + F.coalesce(F.col("_shift"), F.lit(0))).cast("int")
     ).drop("_hot", "_block", "_local", "_shift")
 
 
-def hash_rank(df: DataFrame, identifier: str, name: str = "rank", seed: str = "") -> DataFrame:
+def hash_rank(df: DataFrame, identifier: str, name: str = "rank", seed: str = "", digits: int = 3) -> DataFrame:
     """Dense 1-based rank of unique ids in SHA-256 order, without a global sort.
 
-    Ids are ranked inside 4,096 digest-prefix buckets; one row per bucket carries
-    the running total, so no task ever sees more than one bucket.
+    Ids are ranked inside buckets of equal digest prefixes (``digits`` hexadecimal digits: 3
+    serve to about 10^10 ids); one row per bucket carries the running total, so no task
+    ever sees more than one bucket.
     """
     text = F.concat(F.lit(seed), F.col(identifier)) if seed else F.col(identifier)
     hashed = df.withColumn("_h", F.sha2(text, 256)).withColumn(
-        "_bucket", F.substring("_h", 1, 3)
+        "_bucket", F.substring("_h", 1, digits)
     )
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", identifier))
     sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
@@ -69,7 +73,7 @@ def hash_rank(df: DataFrame, identifier: str, name: str = "rank", seed: str = ""
     shifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
     return (
         hashed.withColumn("_l", local)
-        .join(F.broadcast(shifts), "_bucket")  # at most 4,096 rows
+        .join(F.broadcast(shifts), "_bucket")  # 16 ** digits rows at most
         .withColumn(name, F.col("_l") + F.col("_s"))
         .drop("_h", "_bucket", "_l", "_s")
     )
@@ -84,22 +88,35 @@ def lag_values(
 ) -> DataFrame:
     """Values from earlier plies of the same key, as ``name -> (value, steps back)``.
 
-    Plies are dense (:func:`sequence_check`). A key is cut every ``block`` plies; the
-    last rows of a block are copied ahead of the next one, so each window is bounded
-    and a key of any length is spread over many tasks with a single shuffle.
+    Steps are rows in the order of ``ply``; missing plies change nothing. Where a sequence
+    goes beyond ply ``block``, its rows are numbered and cut every ``block`` rows, and the
+    last rows of a part are copied ahead of the next one, so no window holds more.
     """
     reach = max(steps for _, steps in lags.values())
-    zero = (F.col(ply) - 1).cast("bigint")
-    own = F.floor(zero / block).cast("bigint")
+    block = max(block, reach)
+    deep = df.where(F.col(ply) > block).select(*keys).distinct()
+    if deep.isEmpty():
+        return _lagged(df, list(keys), ply, lags)
+    rows = df.join(deep, list(keys), "left_semi")
+    numbered = number_rows(rows, keys, [ply], F.floor((F.col(ply) - 1) / block), "_row", block)
+    zero = (F.col("_row") - 1).cast("bigint")
     tail = (zero % block) >= block - reach
-    spread = df.withColumn(
-        "_copy", F.explode(F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).withColumn("_block", own + F.col("_copy"))
-    w = Window.partitionBy(*keys, "_block").orderBy(ply)
-    out = spread
+    copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = numbered.withColumn("_copy", F.explode(copies)).withColumn(
+        "_block", F.floor(zero / block).cast("bigint") + F.col("_copy")
+    )
+    cut = _lagged(spread, [*keys, "_block"], ply, lags).where(F.col("_copy") == 0)
+    return _lagged(df.join(deep, list(keys), "left_anti"), list(keys), ply, lags).unionByName(
+        cut.drop("_copy", "_block", "_row")
+    )
+
+
+def _lagged(df: DataFrame, keys: list[str], ply: str, lags: dict[str, tuple[Column, int]]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(ply)
+    out = df
     for name, (value, steps) in lags.items():
         out = out.withColumn(name, F.lag(value, steps).over(w))
-    return out.where(F.col("_copy") == 0).drop("_copy", "_block")
+    return out
 
 
 def valid_clock(clock: Column | str, base: Column | str, increment: Column | str) -> Column:
@@ -110,10 +127,15 @@ def valid_clock(clock: Column | str, base: Column | str, increment: Column | str
 
 
 def same_side_lag(
-    moves: DataFrame, keys: Sequence[str], clock: str, ply: str = "ply", name: str = "clock_before"
+    moves: DataFrame,
+    keys: Sequence[str],
+    clock: str,
+    ply: str = "ply",
+    name: str = "clock_before",
+    color: str = "color",
 ) -> DataFrame:
-    """The mover's own previous clock: two plies back in an alternating game."""
-    return lag_values(moves, keys, ply, {name: (F.col(clock), 2)})
+    """The mover's own previous clock: one row back among the rows of the same color."""
+    return lag_values(moves, [*keys, color], ply, {name: (F.col(clock), 1)})
 
 
 def previous_row_value(
@@ -130,15 +152,13 @@ def move_facts(moves: DataFrame, games: DataFrame) -> DataFrame:
         "clock_after_seconds",
         valid_clock("clock_after_seconds", "base_seconds", "increment_seconds"),
     )
-    lagged = lag_values(
-        joined,
-        keys,
-        "ply",
-        {
-            "clock_before_seconds": (F.col("clock_after_seconds"), 2),
-            "eval_before_cp_white": (F.col("eval_after_cp_white"), 1),
-            "eval_before_mate_white": (F.col("eval_after_mate_white"), 1),
-        },
+    evals = {
+        "eval_before_cp_white": (F.col("eval_after_cp_white"), 1),
+        "eval_before_mate_white": (F.col("eval_after_mate_white"), 1),
+    }
+    # Rows dealt by game serve both windows.
+    lagged = same_side_lag(
+        lag_values(joined, keys, "ply", evals), keys, "clock_after_seconds", "ply", "clock_before_seconds"
     )
     loss = deterioration("eval_before_cp_white", "eval_after_cp_white", "color")
     return (
@@ -184,7 +204,8 @@ def visit_sequence(
     The window ends at ``max_ply``, so each group has at most ``max_ply + 1`` rows
     whatever the length of the game; the extra row supplies the last next move.
     """
-    opening = plies.where(F.col(ply) <= max_ply + 1)
+    # Rows dealt by game serve both windows below.
+    opening = plies.where(F.col(ply) <= max_ply + 1).repartition(*keys)
     order = Window.partitionBy(*keys).orderBy(ply)
     prefix = order.rowsBetween(Window.unboundedPreceding, 0)
     same = Window.partitionBy(*keys, position).orderBy(ply)
@@ -219,7 +240,9 @@ def prior_equal_period(
 
     The prior block is as many periods as were selected, just before the first of
     them. The prior sums are null unless both blocks are contiguous months, adjoin,
-    and every period has the same single cohort and span of days.
+    and every period has the same single cohort and span of days, and also where the
+    prior block has no games (``measures`` with ``games`` at 0). Labels that are no months
+    have no prior block.
     """
     chosen = sorted(set(selected))
     n = len(chosen)
@@ -234,11 +257,11 @@ def prior_equal_period(
         F.min(span).alias("_s0"),
         F.max(span).alias("_s1"),
     )
-    months = [int(p[:4]) * 12 + int(p[5:]) for p in chosen]
-    contiguous = all(b == a + 1 for a, b in zip(months, months[1:], strict=False))
-    index = month_index("period")
+    are_months = all(re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", p) for p in chosen)
+    months = [int(p[:4]) * 12 + int(p[5:]) for p in chosen] if are_months else []
+    contiguous = are_months and all(b == a + 1 for a, b in zip(months, months[1:], strict=False))
     current = F.col("period").isin(*chosen)
-    prior = index.between(months[0] - n, months[0] - 1)
+    prior = month_index("period").between(months[0] - n, months[0] - 1) if months else F.lit(False)
     used = periods.where(current | prior).withColumn("_current", current)
     grouped = used.groupBy(*by) if by else used.groupBy()
     got = grouped.agg(
@@ -258,6 +281,8 @@ def prior_equal_period(
         & (F.col("_c0") == F.col("_c1"))
         & (F.col("_s0") == F.col("_s1"))
     )
+    if "games" in measures:
+        ok = ok & (F.col("_p_games") > 0)
     out = [*by, "periods"]
     for m in measures:
         was = F.when(ok, F.col(f"_p_{m}"))

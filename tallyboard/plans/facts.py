@@ -841,6 +841,38 @@ def _(t: Tables):
     )
 
 
+GAPPY = "(select * from m where ply%5<>3 and (game_id::bigint+ply)%7<>0)"
+
+
+@query(
+    "f02_missing_plies",
+    f"""select game_id, ply::int ply, lag(clock_after_seconds) over (partition by game_id, color order by ply)
+    clock_before from {GAPPY}""",
+    "m",
+)
+def _(t: Tables):
+    rows = t.moves.where("ply % 5 <> 3 and (cast(game_id as bigint) + ply) % 7 <> 0")
+    return W.same_side_lag(rows, ["provider", "game_id"], "clock_after_seconds").select(
+        "game_id", "ply", "clock_before"
+    )
+
+
+@query(
+    "f03_missing_plies",
+    f"""select game_id, ply::int ply, lag(eval_after_cp_white) over (partition by game_id order by ply) as before,
+    lag(eval_after_cp_white, 2) over (partition by game_id order by ply) earlier from {GAPPY}""",
+    "m",
+)
+def _(t: Tables):
+    rows = t.moves.where("ply % 5 <> 3 and (cast(game_id as bigint) + ply) % 7 <> 0")
+    value = F.col("eval_after_cp_white")
+    # Parts of two rows: every sequence crosses their ends.
+    lags = {"before": (value, 1), "earlier": (value, 2)}
+    return W.lag_values(rows, ["provider", "game_id"], "ply", lags, block=2).select(
+        "game_id", F.col("ply").cast("int").alias("ply"), "before", "earlier"
+    )
+
+
 @query(
     "f11_sequence_check",
     """select game_id, count(*) as rows, min(ply)::bigint first_ply, max(ply)::bigint last_ply,

@@ -12,7 +12,7 @@ from tallyboard.functions import scalars as S
 
 MARKER = '[Event "'
 # The tag line and the two annotations inside a comment.
-TAG_LINE = r'(?m)^\[(\w+) "((?:[^"\\]|\\.)*)"\][ \t\r]*$'
+TAG_LINE = r'(?m)^\[(\w+) "((?:[^"\\]|\\.)*)"\]\r?$'
 CLOCK = r"\[%clk\s+(\d+):(\d+):(\d+(?:\.\d+)?)\]"
 EVAL = r"\[%eval\s+([#-]?[-\d.]+)\]"
 GAME_ID = r"^https?://lichess\.org/([A-Za-z0-9]{8})\z"
@@ -21,8 +21,9 @@ GAME_ID = r"^https?://lichess\.org/([A-Za-z0-9]{8})\z"
 def read_records(spark: SparkSession, path: str, marker: str = MARKER) -> DataFrame:
     """Records that start with ``marker``, with file name and 1-based ordinal per file.
 
-    Files are split over tasks at the marker. Ordinals come from counts per split and
-    the order of splits, so no task sorts a whole file.
+    Files are split over tasks at the marker. A record's ordinal is its running number in
+    its split plus the records of earlier splits; only a table with one row for each split
+    is moved, no text is.
     """
     pieces = (
         spark.read.option("lineSep", "\n" + marker)
@@ -31,26 +32,27 @@ def read_records(spark: SparkSession, path: str, marker: str = MARKER) -> DataFr
             F.col("value"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("mono"),
         )
     )
     first = (F.col("block") == 0) & F.col("value").startswith(marker)
     body = F.when(first, F.col("value")).otherwise(F.concat(F.lit(marker), F.col("value")))
     # A file may open with blank lines before the first marker.
     opened = F.ltrim(F.regexp_replace("value", r"^\s+", ""))
-    framed = pieces.withColumn(
-        "record", F.when(opened.startswith(marker), opened).otherwise(body)
-    ).where(F.trim(F.regexp_replace("value", r"\s+", "")) != "")
-    sizes = framed.groupBy("file", "block").agg(F.count("*").alias("n"))
+    framed = (
+        pieces.withColumn("record", F.when(opened.startswith(marker), opened).otherwise(body))
+        .where(F.trim(F.regexp_replace("value", r"\s+", "")) != "")
+        .select("file", "block", "record", F.monotonically_increasing_id().alias("mono"))
+    )
+    sizes = framed.groupBy("file", "block").agg(
+        F.count("*").alias("n"), F.min("mono").alias("first")
+    )
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")
+        "file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
     )
-    local = F.row_number().over(Window.partitionBy("file", "block").orderBy("mono"))
-    return (
-        framed.withColumn("_l", local)
-        .join(shifts, ["file", "block"])
-        .select("file", (F.col("_l") + F.col("shift")).alias("ordinal"), "record")
+    # One row for each split of the input, whatever its size in bytes.
+    return framed.join(F.broadcast(shifts), ["file", "block"]).select(
+        "file", (F.col("mono") + F.col("shift") + 1).alias("ordinal"), "record"
     )
 
 
@@ -167,24 +169,35 @@ def classify_record(df: DataFrame, record: str = "record") -> DataFrame:
     )
 
 
-def resolve_copies(classified: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+def resolve_copies(
+    classified: DataFrame, place: Sequence[str] = ("file", "ordinal")
+) -> DataFrame:
     """Accepted records that repeat an earlier id become duplicates or conflicts.
 
-    The first record of an id stays accepted; a later one is a duplicate if its whole text
-    is the same, else a conflict. ``classified`` is read three times: give a stored table.
+    The first record of an id, by file and then ordinal, stays accepted; a later one is a
+    duplicate if its whole text is the same, else a conflict. ``place`` names the columns
+    that identify a record and order the records. Only the places of copies are joined
+    back. ``classified`` is read three times: give a stored table.
     """
     from tallyboard.operators.dedupe import dedupe_or_conflict
 
+    place = list(place)
     accepted = F.col("disposition") == "accepted"
     marked = classified.where(accepted).select(
-        "game_id", ordinal, S.fingerprint(F.trim(F.col("record")).alias("text")).alias("_print")
+        "game_id",
+        F.struct(*place).alias("_place"),
+        S.fingerprint(F.btrim("record", F.lit(" \t\r\n")).alias("text")).alias("_print"),
+    )
+    status = (
+        dedupe_or_conflict(marked, ["game_id"], "_print", "_place")
+        .where("status <> 'accepted'")
+        .select("_place.*", "status")
     )
-    status = dedupe_or_conflict(marked, ["game_id"], "_print", ordinal).select(ordinal, "status")
     reason = F.when(F.col("status") == "duplicate", "identical_game").when(
         F.col("status") == "conflict", "conflicting_game"
     )
     return (
-        classified.join(status, ordinal, "left")
+        classified.join(status, place, "left")
         .withColumn("disposition", F.coalesce("status", "disposition"))
         .withColumn("reason", F.coalesce("reason", reason))
         .drop("status")
@@ -221,7 +234,7 @@ def record_games(classified: DataFrame, ordinal: str = "ordinal") -> DataFrame:
             bot,
         ).alias("marked_bot"),
         F.to_json("tags").alias("headers_json"),
-        S.fingerprint(F.trim(F.col("record")).alias("text")).alias("record_fingerprint"),
+        S.fingerprint(F.btrim("record", F.lit(" \t\r\n")).alias("text")).alias("record_fingerprint"),
         tag("White").alias("white"),
         tag("Black").alias("black"),
         rating("WhiteElo").alias("white_rating"),
@@ -246,10 +259,12 @@ def to_participants(games: DataFrame) -> DataFrame:
 
 
 def extract_annotations(
-    df: DataFrame, body: str = "body", keys: Sequence[str] = ("ordinal",)
+    df: DataFrame, body: str = "body", keys: Sequence[str] = ("file", "ordinal")
 ) -> DataFrame:
     """One row per annotated ply: clock in seconds, centipawns, and the mate flag.
 
+    ``keys`` identify the record: its file and its ordinal there.
+
     Every comment stands for one ply, in order; a comment may lack either annotation.
     """
     comments = F.regexp_extract_all(F.col(body), F.lit(r"(\{[^}]*\})"), F.lit(1))
@@ -276,26 +291,34 @@ def extract_annotations(
     )
 
 
-def route_dispositions(classified: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def route_dispositions(
+    classified: DataFrame, place: Sequence[str] = ("file", "ordinal")
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted rows, set-aside rows with their raw text, and counts by disposition and reason."""
     accepted = classified.where(F.col("disposition") == "accepted")
     aside = classified.where(~F.col("disposition").isin("accepted", "duplicate")).select(
-        "ordinal", "disposition", "reason", F.col("record").alias("raw")
+        *place, "disposition", "reason", F.col("record").alias("raw")
     )
     counts = classified.groupBy("disposition", "reason").agg(F.count("*").alias("records"))
     return accepted, aside, counts
 
 
-IDENTITY = r'(?m)^\[LichessURL "(https?://lichess\.org/[A-Za-z0-9]{8})"\][ \t\r]*$'
+IDENTITY = r'(?m)^\[LichessURL "(https://lichess\.org/[A-Za-z0-9]{8})"\]\r?$'
+SITE = r'(?m)^\[Site "[^"\n]*"\]'
 
 
 def restore_identity(df: DataFrame, record: str = "record", identity: str = IDENTITY) -> DataFrame:
     """Records whose id tag is the canonical address, placed as the second line.
 
-    ``identity_reason`` is set, and the text left alone, where no address is found.
+    The first Site tag gives way to it, later ones stay. ``identity_reason`` is set, and
+    the text left alone, where no address is found.
     """
     found = F.regexp_extract(record, identity, 1)
-    bare = F.regexp_replace(record, r'(?m)^\[Site "[^"\n]*"\]', "")
+    at = F.regexp_instr(record, F.lit(SITE))
+    old = F.length(F.regexp_extract(record, SITE, 0))
+    text = F.col(record)
+    without = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + old, F.length(text)))
+    bare = F.when(at > 0, without).otherwise(text)
     cut = F.instr(bare, "\n")
     first = F.substring(bare, F.lit(1), cut - 1)
     rest = F.substring(bare, cut + 1, F.length(bare))
@@ -305,10 +328,13 @@ def restore_identity(df: DataFrame, record: str = "record", identity: str = IDEN
     ).withColumn(record, F.when(found == "", F.col(record)).otherwise(rebuilt))
 
 
-def first_complete(records: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame:
-    """The first ``n`` records in source order; when the source ends before, not its open last one."""
-    last = records.agg(F.max(ordinal)).scalar()
-    return records.where((F.col(ordinal) <= n) & (F.col(ordinal) < last))
+def first_complete(records: DataFrame, n: int, place: Sequence[str] = ("file", "ordinal")) -> DataFrame:
+    """The first ``n`` records of each file; of a file that ends before, not its open last one."""
+    *file, ordinal = place
+    last = records.groupBy(*file).agg(F.max(ordinal).alias("_last"))
+    # One row for each file.
+    joined = records.join(F.broadcast(last), file) if file else records.crossJoin(F.broadcast(last))
+    return joined.where((F.col(ordinal) <= n) & (F.col(ordinal) < F.col("_last"))).drop("_last")
 
 
 def raw_recount(classified: DataFrame) -> DataFrame:

@@ -197,3 +197,30 @@ def test_rederive_totals(spark):
                                    "high_severity_misses int, unsafe_answers int, over_abstentions int, hard_fail double, cases int")
     got = I.rederive_totals(header, rows).collect()
     assert [(r.total, r.stored, r.derived) for r in got] == [("hard_fail", 1.0, 0.0)]
+
+
+def test_digests_tell_near_tables_apart(spark):
+    def equal(x, y):
+        return K.verify_equivalence(x, y).first()["equal"]
+
+    a = spark.createDataFrame([("x|y", "z")], "a string, b string")
+    assert not equal(a, spark.createDataFrame([("x", "y|z")], "a string, b string"))
+    null = spark.createDataFrame([(None, "z")], "a string, b string")
+    for text in ("\\N", "-", "", "null"):
+        assert not equal(null, spark.createDataFrame([(text, "z")], "a string, b string"))
+    assert not equal(a, a.withColumnRenamed("b", "c"))
+    assert equal(a.unionByName(null), null.unionByName(a).select("b", "a"))
+
+
+def test_public_names_in_any_case(spark):
+    df = spark.createDataFrame([("x",)], "Player_Key string")
+    got = {r.check: r.failures for r in I.public_check(df, forbidden=["player_key"]).collect()}
+    assert got["name:Player_Key"] == 1
+
+
+def test_checks_read_each_table_once(facts):
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    # Games by key, players by color and by key, and at most one more for the join.
+    assert exchanges(I.run_checks(*facts, "lichess", 8)) <= 4 + exchanges(facts[1])

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from tallyboard.plans import load
 from checks import TABLES, canonical
 
 SF = Path("/root/testdata/sf0.001")
@@ -31,6 +32,8 @@ def duck():
 def test_every_sql_reads_and_every_query_has_one(duck):
     queries, oracles = entry_point.queries(), entry_point.oracle_sql()
     assert set(oracles) <= set(queries)
+    queries, oracles = load()
+    assert set(queries) <= set(entry_point.queries())
     # Only the fitted trees cannot be put in SQL.
     assert set(queries) - set(oracles) == {"j03_fit_calibrated"}
     for name, sql in oracles.items():

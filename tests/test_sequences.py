@@ -101,10 +101,17 @@ def test_inventory_and_compression(visits, first):
     assert abs(plies[1].endpoint_compression - 1 / 3) < 1e-12 and 3 not in plies
 
 
-def test_lens_reads_the_last_ply(visits):
-    assert [r.game_id for r in C.lens_games(visits, "a", ["c"]).orderBy("game_id").collect()] == ["g1", "g3"]
-    # g4 ends on its only move: nothing follows the first one.
-    assert C.lens_games(visits, "z", ["z"]).count() == 0
+def test_lens_takes_games_that_reach_the_ply(visits):
+    assert [r.game_id for r in C.lens_games(visits, "a", ["c"], ply=2).collect()] == ["g3"]
+    # g3 ends at ply 2, before this window does.
+    assert [r.game_id for r in C.lens_games(visits, "a", ["c"], ply=3).collect()] == ["g1"]
+    assert C.lens_games(visits, "z", ["z"], ply=1).count() == 0
+
+
+def test_departure_refuses_visits_that_begin_later(spark, visits):
+    routes = spark.createDataFrame([("a b",)], "route string")
+    with pytest.raises(ValueError, match="from ply 1"):
+        Z.route_departure(visits.where("ply > 1"), routes)
 
 
 def test_id_collisions(spark, first):

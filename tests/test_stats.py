@@ -292,3 +292,28 @@ def test_training_frame_and_fit(spark):
     assert len(games_out) == 15
     bins = J.evaluate_calibration(holdout, 5).collect()
     assert sum(r["count"] for r in bins) == 15 * 9 and bins[0].brier < 0.05
+
+
+def test_median_and_frontier_with_a_far_value(spark):
+    rng = random.Random(3)
+    values = [rng.random() for _ in range(20_001)] + [1e9]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 2.0), ("b", 4.0), ("c", None)], "g string, v double")
+    got = {r.g: r["median"] for r in X.exact_median(df, ["g"], "v").collect()}
+    ordered = sorted(values)
+    assert got == {"a": (ordered[10_000] + ordered[10_001]) / 2, "b": 3.0}
+    runs = [(f"r{i}", rng.random(), rng.randrange(50) / 50) for i in range(3000)] + [("far", 1e9, 1.0)]
+    runs += [("tie1", 0.5, 0.99), ("tie0", 0.5, 0.99), ("none", None, 1.0)]
+    frame = spark.createDataFrame(runs, "run string, cost double, rate double").repartition(5)
+    want, top = set(), -1.0
+    for name, cost, rate in sorted((r for r in runs if r[1] is not None), key=lambda r: (r[1], -r[2], r[0])):
+        if rate > top:
+            want.add(name)
+            top = rate
+    assert {r.run for r in X.pareto_frontier(frame).collect()} == want
+
+
+def test_reliability_refuses_what_is_no_probability(spark):
+    for bad in (1.5, -0.1, None, float("nan")):
+        df = spark.createDataFrame([(0.5, 1), (bad, 0)], "probability double, label int")
+        with pytest.raises(Exception, match="must be a number from 0 to 1"):
+            X.reliability(df, 5).collect()

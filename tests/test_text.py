@@ -71,7 +71,7 @@ def test_record_games_and_participants(classified):
 
 
 def test_route_dispositions(classified):
-    accepted, aside, counts = X.route_dispositions(classified)
+    accepted, aside, counts = X.route_dispositions(classified, ["ordinal"])
     assert accepted.count() + aside.count() == len(CASES)
     assert counts.agg(F.sum("records")).first()[0] == len(CASES)
     assert aside.where("ordinal = 1").first().raw == CASES[1][0]
@@ -104,7 +104,7 @@ def test_body_starts_at_the_first_plain_line(spark):
 def test_annotations(spark, rows):
     body = "1. e4 { [%eval 0.17] [%clk 1:02:03] } e5 { [%eval #-3] } 2. Nf3 { [%clk 0:00:00.5] } Nc6 { [%eval -1.29] }"
     df = spark.createDataFrame([(1, body)], "ordinal int, body string")
-    assert rows(X.extract_annotations(df), "ply") == [
+    assert rows(X.extract_annotations(df, keys=["ordinal"]), "ply") == [
         (1, 1, 3723.0, 17, False), (1, 2, None, None, True), (1, 3, 0.5, None, False), (1, 4, None, -129, False)]
 
 
@@ -125,10 +125,38 @@ def test_read_records_numbers_each_file(spark, tmp_path):
 
 
 def test_first_complete(spark, rows):
-    df = spark.createDataFrame([(i, "r") for i in range(1, 6)], "ordinal bigint, record string")
-    assert [r[0] for r in rows(X.first_complete(df, 3), "ordinal")] == [1, 2, 3]
-    # The source ends before the cap: its last record may be cut off.
-    assert [r[0] for r in rows(X.first_complete(df, 9), "ordinal")] == [1, 2, 3, 4]
+    data = [("a", i) for i in range(1, 6)] + [("b", 1), ("b", 2)]
+    df = spark.createDataFrame(data, "file string, ordinal bigint")
+    assert rows(X.first_complete(df, 3), "file", "ordinal") == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+    # A file that ends before the cap: its last record may be cut off.
+    assert rows(X.first_complete(df, 9), "file", "ordinal") == [("a", i) for i in range(1, 5)] + [("b", 1)]
+    one = df.where("file = 'a'").select("ordinal")
+    assert rows(X.first_complete(one, 9, ["ordinal"]), "ordinal") == [(1,), (2,), (3,), (4,)]
+
+
+def test_copies_over_several_files(spark, tmp_path):
+    texts = {"a.txt": [record(1), record(2)], "b.txt": [record(1), record(3)], "c.txt": [record(2) + "{x}", record(3)]}
+    for name, parts in texts.items():
+        (tmp_path / name).write_text("\n".join(parts))
+    stored = X.classify_record(X.read_records(spark, str(tmp_path))).cache()
+    got = {(r.file[-5], r.ordinal): r.disposition for r in X.resolve_copies(stored).collect()}
+    first, second = ("accepted", "accepted"), ("duplicate", "accepted")
+    assert (got["a", 1], got["a", 2]) == first and (got["b", 1], got["b", 2]) == second
+    assert got["c", 2] == "duplicate" and got["c", 1] in ("conflict", "quarantine") and len(got) == 6
+
+
+def test_text_is_read_without_being_shuffled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(record(i) for i in range(30)))
+    plan = X.read_records(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert "Exchange hashpartitioning" not in line or "record" not in line
+    assert "SortMergeJoin" not in plan
+
+
+def test_tag_lines_end_with_the_bracket(spark, rows):
+    texts = ['[Event "Rated x"] \n\n1-0', '[Event "Rated x"]\r\n\r\n1-0']
+    df = spark.createDataFrame([(t,) for t in texts], "record string")
+    assert [r[0] for r in rows(X.parse_tags(df).select("tag_reason"))] == ["malformed_header", None]
 
 
 def test_restore_identity(spark, rows):
@@ -138,6 +166,11 @@ def test_restore_identity(spark, rows):
     assert got[0][0].splitlines()[:2] == ['[Event "x"]', '[Site "https://lichess.org/abcdefgh"]']
     assert got[0][0].count("[Site ") == 1 and got[0][1] is None
     assert got[1] == ('[Event "x"]\n1-0\n', "no_unambiguous_identity")
+    odd = ['[Event "x"]\n[LichessURL "http://lichess.org/abcdefgh"]\n', '[Event "x"]\n[LichessURL "https://lichess.org/abcdefgh"] \n']
+    two = '[Event "x"]\n[Site "?"]\n[LichessURL "https://lichess.org/abcdefgh"]\n[Site "second"]\n'
+    got = rows(X.restore_identity(spark.createDataFrame([(t,) for t in [*odd, two]], "record string")).select("record", "identity_reason"))
+    assert [r[1] for r in got] == ["no_unambiguous_identity"] * 2 + [None]
+    assert got[2][0].count("[Site ") == 2 and '[Site "second"]' in got[2][0]
 
 
 COPIES = [(1, "a", "f1"), (2, "a", "f1"), (3, "b", "f2"), (4, "b", "f3"), (5, "b", "f2"), (6, "c", "f9")]
@@ -176,3 +209,11 @@ def test_hot_ids_take_the_other_way_to_the_same_result(spark):
     assert cold.columns == hot.columns == ["ordinal", "id", "fingerprint", "last"]
     assert sorted(map(tuple, cold.collect())) == sorted(map(tuple, hot.collect()))
     assert hot.count() == 300
+
+
+def test_summaries_reach_rows_with_maps(spark):
+    from tallyboard.operators import joins as D
+
+    df = spark.createDataFrame([(1, {"a": 1}), (1, {"b": 2}), (2, {})], "k int, m map<string,int>")
+    summary = df.groupBy("k").agg(F.count("*").alias("n"), F.lit("s").alias("v"))
+    assert D.join_back(df, summary, ["k"], "n").count() == 3

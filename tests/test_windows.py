@@ -39,6 +39,43 @@ def test_lag_across_blocks_equals_plain_lag(spark):
     assert got.count() == len(data)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 4096])
+def test_lag_goes_by_rows_whatever_the_block(spark, block):
+    rng = random.Random(4)
+    plies = {g: sorted(rng.sample(range(1, 40), n)) for g, n in ((1, 20), (2, 1), (3, 7))}
+    data = [(g, p, "wb"[p % 2], g * 1000 + p) for g, ps in plies.items() for p in ps]
+    df = spark.createDataFrame(data, "g int, ply int, color string, v int").repartition(5)
+    got = W.lag_values(df, ["g"], "ply", {"a": (F.col("v"), 1), "b": (F.col("v"), 2)}, block=block).collect()
+    assert len(got) == len(data)
+    for r in got:
+        earlier = [r.g * 1000 + p for p in plies[r.g] if p < r.ply]
+        assert (r.a, r.b) == (earlier[-1] if earlier else None, earlier[-2] if len(earlier) > 1 else None)
+
+
+def test_own_clock_where_a_ply_is_missing(spark):
+    data = [(1, 1, "white", 60), (1, 2, "black", 50), (1, 4, "black", 40), (1, 5, "white", 30)]
+    df = spark.createDataFrame(data, "g int, ply int, color string, clock int")
+    got = {r.ply: r.clock_before for r in W.same_side_lag(df, ["g"], "clock").collect()}
+    assert got == {1: None, 2: None, 4: 50, 5: 60}
+
+
+def test_visits_are_dealt_once(spark):
+    df = spark.createDataFrame([(1, 1, "a", "p")], "g int, ply int, uci string, position_key string")
+    plan = W.visit_sequence(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_periods_that_are_no_months(spark):
+    rows = [("2024-01", 5), ("2024-02", 7), ("all", 12), ("2023-12", 0)]
+    data = [(p, "c", dt.date(2024, 1, 1), dt.date(2024, 1, 31), n) for p, n in rows]
+    df = spark.createDataFrame(data, "period string, cohort string, period_start date, period_end date, games bigint")
+    got = W.prior_equal_period(df, ["all"], [], ["games"]).first()
+    assert (got.games, got.prior_games) == (12, None)
+    assert W.prior_equal_period(df, ["2024-02"], [], ["games"]).first().prior_games == 5
+    # A prior block without games is no base for a difference.
+    assert W.prior_equal_period(df, ["2024-01"], [], ["games"]).first().prior_games is None
+
+
 def test_move_facts(spark, rows):
     games = spark.createDataFrame([("p", "g", 60, 0)], "provider string, game_id string, base_seconds bigint, increment_seconds bigint")
     moves = spark.createDataFrame(
