@@ -13,6 +13,7 @@ from tallyboard.llm import (
     fingerprint,
     jaccard_join,
     line_dedup,
+    oracles,
     quality,
     secrets,
     substring_dedup,
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprint": fingerprint.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
