@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import scalars as S
 from tallyboard.operators import windows as W
-from tallyboard.session import spread, stored_table, tune
+from tallyboard.session import spread, stored_table, tune, version
 
 LINE_ORDER = (
     "l_partkey",
@@ -146,7 +146,12 @@ class Tables:
         )
 
     def stored(self, name: str, build) -> DataFrame:
-        return stored_table(self.spark, (self.sf_dir, name), build)
+        return stored_table(self.spark, (self.sf_dir, self.version, name), build)
+
+    @cached_property
+    def version(self) -> str:
+        """Changes with the files of the folder, so no table of older files is read."""
+        return version(self.spark, self.sf_dir)
 
     @cached_property
     def move_facts(self) -> DataFrame:

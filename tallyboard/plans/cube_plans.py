@@ -272,11 +272,11 @@ def grains(t: Tables) -> list[DataFrame]:
 def stored_cube(t: Tables) -> DataFrame:
     """The cube, built once per folder and session and kept in the shared folder."""
     kept = t.spark.sparkContext.__dict__.setdefault("_tallyboard_cubes", {})
-    if t.sf_dir not in kept:
+    if (key := (t.sf_dir, t.version)) not in kept:
         path = scratch_path(t.spark, "cube")
         A.write_cube(grains(t), path)
-        kept[t.sf_dir] = path
-    return A.read_cube(t.spark, kept[t.sf_dir])
+        kept[key] = path
+    return A.read_cube(t.spark, kept[key])
 
 
 CUBE = f"""{CELLS},

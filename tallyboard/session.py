@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import tempfile
 import uuid
 
@@ -58,8 +61,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, deleted by :func:`release` or at exit."""
+    paths = spark.sparkContext.__dict__.get("_tallyboard_paths")
+    if paths is None:
+        paths = spark.sparkContext._tallyboard_paths = []
+        atexit.register(release, spark)
+    paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return paths[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder. Frames that read it end."""
+    kept = spark.sparkContext.__dict__
+    kept.pop("_tallyboard_tables", None)
+    kept.pop("_tallyboard_cubes", None)
+    paths = kept.get("_tallyboard_paths", [])
+    with contextlib.suppress(Exception):  # the JVM may be gone at exit
+        while paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def version(spark: SparkSession, folder: str) -> str:
+    """A digest of the paths, sizes and times of all files below a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -81,6 +112,7 @@ def spread(df: DataFrame) -> DataFrame:
 def stored_table(spark: SparkSession, key: tuple[str, ...], build) -> DataFrame:
     """A table written once per session under ``key`` in the shared folder, then read.
 
+    ``key`` should hold the :func:`version` of the files that the table is made of.
     ``build`` gives the frame the first time. Many operators read the same facts; a
     stored table also survives the loss of any executor.
     """

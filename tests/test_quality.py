@@ -224,3 +224,14 @@ def test_checks_read_each_table_once(facts):
 
     # Games by key, players by color and by key, and at most one more for the join.
     assert exchanges(I.run_checks(*facts, "lichess", 8)) <= 4 + exchanges(facts[1])
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    from tallyboard.session import version
+
+    folder = str(tmp_path / "t")
+    spark.range(3).write.parquet(folder)
+    before = version(spark, folder)
+    assert before == version(spark, folder)
+    spark.range(2).write.mode("append").parquet(folder)
+    assert version(spark, folder) != before
