@@ -130,7 +130,10 @@ def removals(df: DataFrame, min_lines: int = 2, min_chars: int = 40) -> DataFram
 def dedup_lines(df: DataFrame, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
     """``df`` with later copies of repeated runs deleted from ``text``, and the numbers of
     non-blank lines and of deleted ones, and the longest deleted run, of each row."""
-    rows = keyed(df.drop(*ADDED))
+    # Further columns go along in one, so that none of them clashes with a name used here.
+    more = [c for c in df.columns if c not in ("doc_id", "text", *ADDED)]
+    rest = F.struct(*more) if more else F.lit(0)
+    rows = keyed(df.select("doc_id", "text", rest.alias("rest")))
     base = rows.select(*KEY, "text")
     if not rows.groupBy(*KEY).count().where("count > 1").isEmpty():
         base = base.dropDuplicates(KEY)
@@ -151,7 +154,7 @@ def dedup_lines(df: DataFrame, min_lines: int = 2, min_chars: int = 40) -> DataF
         "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
         "longest_run": F.coalesce("longest", F.lit(0)).cast("long"),
         "text": text,
-    }).drop(*KEY, "gone", "longest")
+    }).select("doc_id", "text", *([F.col("rest.*")] if more else []), *ADDED)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

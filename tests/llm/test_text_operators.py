@@ -301,7 +301,7 @@ def test_toxicity_learns_and_ignores_the_held_out(spark):
         if y:
             for v in rng.integers(0, 6, 2):
                 w.insert(int(rng.integers(0, len(w))), f"bad{v}")
-        rows.append((i, " ".join(w), "en" if i % 2 else "de"))
+        rows.append((i, " ".join(w), "en" if i % 3 else "de"))
         labels.append((i, y))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     truth = spark.createDataFrame(labels, "doc_id long, toxic int")
