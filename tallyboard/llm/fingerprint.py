@@ -80,18 +80,23 @@ def compare_edited(df: DataFrame) -> DataFrame:
     with a null doc_id has no next one: its last quarter is replaced by nothing and
     ``near_next`` is 0. Where two sketches are empty, likeness is 1 for equal texts, else 0.
     """
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    # A cast that changes nothing would give the two reads of the texts different plans.
+    doc_id = F.col("doc_id") if dict(df.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = df.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins read the same rows dealt by doc_id, so the texts are shuffled once.
+    known = docs.where("doc_id is not null")
+    sizes = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     before = next_ids(docs).join(sizes, "doc_id").select(
         F.col("doc_id").alias("prev"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 4).cast("int").alias("need")
     )
-    heads = with_sketch(docs.join(before.hint("shuffle_hash"), "doc_id"), "text", "s").select(
+    heads = with_sketch(known.join(before.hint("shuffle_hash"), "doc_id"), "text", "s").select(
         F.col("prev").alias("doc_id"), F.struct(
             F.xxhash64("text").alias("own"), F.expr("left(text, need)").alias("head"), "s"
         ).alias("next")
     )
     nexts = heads.groupBy("doc_id").agg(F.min(F.struct("next.head", "next.own", "next.s")).alias("next"))
-    joined = docs.join(nexts.hint("shuffle_hash"), "doc_id", "left").withColumn("n_chars", F.length("text"))
+    nameless = docs.where("doc_id is null").withColumn("next", F.lit(None).cast(nexts.schema["next"].dataType))
+    joined = known.join(nexts.hint("shuffle_hash"), "doc_id", "left").unionByName(nameless).withColumn("n_chars", F.length("text"))
     edited = joined.withColumn("edited", F.concat(
         F.expr("left(text, n_chars - n_chars div 4)"), F.coalesce(F.expr("left(next.head, cast(n_chars div 4 as int))"), F.lit(""))
     ))
