@@ -10,9 +10,9 @@ by themselves and their counts are summed, per document and per pair:
    n // 4 shingles of a class may be missing in it.
 3. Of those, shingles are ordered from rare to common. Two linked classes share a shingle
    among the first n - ceil(0.75 n) + 1 of each. Classes with such a shingle in common are
-   first compared with one leader of the shingle, the class with the smallest share of
-   shingles of its own, and then, across components only, with each other. Pairs whose
-   sizes and places of the shingle leave too little to share are left out. So one large
+   first compared with one leader among those of their shingles, the class with the smallest
+   share of shingles of its own, and then, across components only, with each other. Pairs whose
+   sizes, places of the shingle and parity bits leave too little to share are left out. So one large
    group of near copies is not compared pair by pair, and no link between components is
    passed over.
 4. A pair's overlap is counted fragment by fragment and summed.
@@ -179,7 +179,11 @@ def possible(df: DataFrame, classes: DataFrame, n_shingles: int) -> DataFrame:
 
 
 def sets_table(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``s1, n, fragment, hashes array<long>`` of the wanted classes, FRAGMENTS rows each."""
+    """``s1, n, bits, fragment, hashes array<long>`` of the wanted classes, FRAGMENTS rows each.
+
+    ``bits`` has, for each of 256 ranges of hashes, whether the set has an odd number of
+    them: bits that differ bound from below how many shingles two sets do not share.
+    """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         wanted.select(F.col("rep").alias("doc_id"), F.col("s1").alias("want")).hint("shuffle_hash"), "doc_id"
     )
@@ -188,24 +192,27 @@ def sets_table(df: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             for a, b in passes(texts, PASS):
-                out = {"s1": [], "n": [], "fragment": [], "hashes": []}
+                out = {"s1": [], "n": [], "bits": [], "fragment": [], "hashes": []}
                 for want, own in zip(batch.column("want").slice(a, b - a).to_pylist(), sets_of(texts.slice(a, b - a))):
                     if not len(own) or signature(own)[0] != want:
                         continue  # another text with the same doc_id
+                    odd = np.bincount((own >> np.uint64(56)).astype(np.intp), minlength=256) & 1
+                    bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
                     cuts = np.searchsorted(own, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61))
                     for f, part in enumerate(np.split(own, cuts)):
                         if len(part):
                             out["s1"].append(want)
                             out["n"].append(len(own))
+                            out["bits"].append(bits)
                             out["fragment"].append(f)
                             out["hashes"].append(part.view(np.int64))
                 yield pa.RecordBatch.from_pydict({
-                    "s1": pa.array(out["s1"], pa.int64()), "n": pa.array(out["n"], pa.int64()),
+                    "s1": pa.array(out["s1"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "bits": pa.array(out["bits"], pa.list_(pa.int64())),
                     "fragment": pa.array(out["fragment"], pa.int32()), "hashes": pa.array(out["hashes"], pa.list_(pa.int64())),
                 })
 
     # Rows with one doc_id and one text twice give the same fragments twice.
-    found = rows.mapInArrow(run, "s1 long, n long, fragment int, hashes array<long>")
+    found = rows.mapInArrow(run, "s1 long, n long, bits array<long>, fragment int, hashes array<long>")
     return found.dropDuplicates(["s1", "fragment"])
 
 
@@ -213,15 +220,15 @@ def prefixes(sets: DataFrame) -> DataFrame:
     """``s1, n, own, h, p``: of each class, the share of shingles that no other has, and the
     shared shingles among its first n - ceil(0.75 n) + 1 from rare to common, with the
     number of shingles before each."""
-    each = sets.select("s1", "n", F.explode("hashes").alias("h"))
+    each = sets.select("s1", "n", "bits", F.explode("hashes").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     joined = each.join(common, "h")
-    ranked = joined.groupBy("s1", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("by"))
+    ranked = joined.groupBy("s1", "n").agg(F.first("bits").alias("bits"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("by"))
     # Shingles of one class alone come first in the order and give no pair.
     keep = F.greatest(F.lit(0), F.expr("n - (3 * n + 3) div 4 + 1 - (n - size(by))")).cast("int")
     own = (F.col("n") - F.size("by")) / F.col("n")
-    first = ranked.select("s1", "n", own.alias("own"), (F.col("n") - F.size("by")).alias("u"), F.posexplode(F.slice("by", 1, keep)).alias("i", "t"))
-    return first.select("s1", "n", "own", "t.h", (F.col("u") + F.col("i")).alias("p"))
+    first = ranked.select("s1", "n", "bits", own.alias("own"), (F.col("n") - F.size("by")).alias("u"), F.posexplode(F.slice("by", 1, keep)).alias("i", "t"))
+    return first.select("s1", "n", "bits", "own", "t.h", (F.col("u") + F.col("i")).alias("p"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,7 +245,10 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 #: If ``h`` is the first shingle that two classes have in common, those from ``h`` on bound
 #: the overlap, which must be 3/7 of the sum of the sizes. A linked pair keeps its first one.
-NEAR = "7 * least(n - p, m - q) >= 3 * (n + m)"
+#: What two linked sets do not share is at most 1/7 of the sum of their sizes.
+NEAR = "7 * least(n - p, m - q) >= 3 * (n + m) and 7 * (" + " + ".join(
+    f"bit_count(bits[{i}] ^ others[{i}])" for i in range(4)
+) + ") <= n + m"
 
 
 def _pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
@@ -250,9 +260,9 @@ def _pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
 
 def _leaders(rows: DataFrame, by: list[str]) -> DataFrame:
     """The class with the smallest share of own shingles in each group."""
-    best = F.min(F.struct("own", F.xxhash64("s1").alias("r"), "s1", "n", "p"))
+    best = F.min(F.struct("own", F.xxhash64("s1").alias("r"), "s1", "n", "p", "bits"))
     return rows.groupBy(*by).agg(best.alias("t")).select(
-        *by, F.col("t.s1").alias("b"), F.col("t.n").alias("m"), F.col("t.p").alias("q")
+        *by, F.col("t.s1").alias("b"), F.col("t.n").alias("m"), F.col("t.p").alias("q"), F.col("t.bits").alias("others"), F.struct("t.own", "t.r").alias("order")
     )
 
 
@@ -270,12 +280,17 @@ def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
 def link(sets: DataFrame) -> DataFrame:
     """Links (``a, b``) between classes that join all components; see the module."""
     rows = stage_table(prefixes(sets), "prefixes")
-    tried = stage_table(_pairs(rows, _leaders(rows, ["h"]), "true"), "pairs")
+    # Of the leaders a class can link with it meets the first one only.
+    met = rows.join(_leaders(rows, ["h"]), "h").where(f"s1 <> b and {NEAR}")
+    one = met.groupBy("s1").agg(F.min(F.struct("order", "b")).alias("t")).select("s1", F.col("t.b").alias("b"))
+    tried = stage_table(
+        one.select(F.greatest("s1", "b").alias("a"), F.least("s1", "b").alias("b")).distinct(), "pairs"
+    )
     links = stage_table(overlaps(tried, sets), "links")
     # What is left is compared across components; the largest needs no pairs of its own.
     rows = _mixed(rows, links)
-    other = rows.select("h", F.col("s1").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("c").alias("d"))
-    few = rows.where("c <> major").select("h", "s1", "n", "p", "c", "major")
+    other = rows.select("h", F.col("s1").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("bits").alias("others"), F.col("c").alias("d"))
+    few = rows.where("c <> major").select("h", "s1", "n", "p", "bits", "c", "major")
     cross = _pairs(few, other, "c <> d and (d = major or s1 < b)").join(tried, ["a", "b"], "left_anti")
     return links.unionByName(overlaps(stage_table(cross, "pairs"), sets))
 
