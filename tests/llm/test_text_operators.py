@@ -414,3 +414,27 @@ def test_passages_found(docs, corpus):
 def test_passages_odd_rows(odd, none):
     assert substring_dedup.near_passages(odd).count() == 0
     assert substring_dedup.near_passages(none).count() == 0
+
+
+def test_whole_passages_behind_earlier_pieces(spark):
+    """Documents with pieces of a passage come before the one that has all of it."""
+    rng, rows, want = np.random.default_rng(4), [], []
+
+    def fresh(n):
+        return [f"w{v}" for v in rng.integers(0, 1 << 40, n)]
+
+    for trial in range(25):
+        passage = fresh(90)
+        pieces = [passage[a : a + 35] for a in (0, 18, 36, 55)]
+        near = list(passage)
+        near[20] = near[60] = "changed"
+        for k, part in enumerate([*pieces, passage, passage, near]):
+            rows.append((10 * trial + k, " ".join(fresh(40) + part + fresh(40))))
+        want += [(10 * trial + 5, 40, 130), (10 * trial + 6, 40, 130)]
+    got = substring_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    seen = defaultdict(set)
+    for r in got:
+        if r["of_doc_id"] % 10 >= 4:
+            seen[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    missed = [w for w in want if not seen[w[0]] >= set(range(w[1], w[2]))]
+    assert not [w for w in missed if w[0] % 10 == 5] and len(missed) <= 1
