@@ -438,3 +438,18 @@ def test_whole_passages_behind_earlier_pieces(spark):
             seen[r["doc_id"]] |= set(range(r["start"], r["end"]))
     missed = [w for w in want if not seen[w[0]] >= set(range(w[1], w[2]))]
     assert not [w for w in missed if w[0] % 10 == 5] and len(missed) <= 1
+
+
+def test_passages_are_the_maximal_stretches():
+    rng = np.random.default_rng(6)
+    hits = [np.isin(np.arange(68), [*range(6), *range(12, 32), *range(46, 68)])]
+    hits += [np.repeat(rng.random(40) < p, rng.integers(1, 9, 40)) for p in (0.5, 0.7, 0.75, 0.8, 1.0, 0.0) for _ in range(10)]
+    for hit in hits:
+        own = np.arange(len(hit)).astype(np.uint64)
+        every = [
+            (s, e, int(hit[s : e + 1].sum())) for s in np.flatnonzero(hit) for e in np.flatnonzero(hit)
+            if e - s + 1 >= substring_dedup.TOKENS and 4 * hit[s : e + 1].sum() >= 3 * (e - s + 1)
+        ]
+        want = [x for x in every if not any(y[0] <= x[0] and x[1] <= y[1] and y != x for y in every)]
+        assert substring_dedup.passages(own, own[hit]) == want
+    assert (12, 67, 42) in substring_dedup.passages(np.arange(68).astype(np.uint64), np.flatnonzero(hits[0]).astype(np.uint64))
