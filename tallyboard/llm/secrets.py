@@ -1,7 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Base patterns find assignments, access keys and long hexadecimal runs in whole texts. Their
-values, and every other run of credential characters that looks random, are candidates.
+values, and every other run of credential characters that looks random, are candidates. A
+run of fewer than 16 characters or with a dot is one only if a base value is equal to it;
+dots at the end belong to no value, and the parts between dots are runs of their own too.
 Candidate hashes are counted over distinct documents (the repositories) and distinct
 sources (the owners) of the whole corpus. A value seen with many owners is a widely copied
 example; one that few owners have and that looks random is taken as live. A live value is
@@ -34,7 +36,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex"]
 LEAST_VALUE = 6
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: All that a live base value can be; of it, PLAIN runs of LEAST_ALONE are candidates alone.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LEAST_ALONE = 16
 WORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 
@@ -69,14 +74,18 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def other_spans(text: str, base) -> list[tuple[int, int, str]]:
-    """(start, end, value) of random-looking runs that no base span touches."""
+def other_spans(text: str, base) -> list[tuple[int, int, str, bool]]:
+    """(start, end, value, whether it is a candidate alone) of random-looking runs that no
+    base span touches."""
     taken = [(s, e) for s, _, e, _ in base]
     found = []
     for m in RUN.finditer(text):
-        value = m[0]
-        if looks_random(value) and not any(s < m.end() and m.start() < e for s, e in taken):
-            found.append((m.start(), m.end(), value))
+        parts = {(p.start(), p.end()) for p in PLAIN.finditer(text, m.start(), m.end())}
+        parts.add((m.start(), m.start() + len(m[0].rstrip("."))))
+        for at, until in sorted(parts):
+            value = text[at:until]
+            if looks_random(value) and not any(s < until and at < e for s, e in taken):
+                found.append((at, until, value, len(value) >= LEAST_ALONE and "." not in value))
     return found
 
 
@@ -98,8 +107,8 @@ def scan(df: DataFrame) -> DataFrame:
                     whole = text or ""
                     base = base_spans(whole)
                     joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in base)
-                    held = [(s, e, digest(v), False, looks_random(v)) for s, _, e, v in base]
-                    held += [(s, e, digest(v), True, True) for s, e, v in other_spans(whole, base)]
+                    held = [(s, e, digest(v.rstrip(".")), False, looks_random(v.rstrip("."))) for s, _, e, v in base]
+                    held += [(s, e, digest(v), True, alone) for s, e, v, alone in other_spans(whole, base)]
                     kinds = Counter(k for _, k, _, _ in base)
                     own = hashlib.sha256(f"{doc}|{text is None}|{whole}".encode()).hexdigest()[:32] if held else None
                     rows.append({
@@ -140,16 +149,21 @@ def find(df: DataFrame, wide: int = 3) -> DataFrame:
     each = found.where(F.size("candidates") > 0).select(
         "row_id", "source", F.explode("candidates").alias("c")
     ).select("row_id", "source", "c.*")
-    verdict = ownership(each, wide)
+    # Runs that are no candidates alone count where a base value or another run has their hash.
+    known = each.where("not added or live").select("hash").distinct()
+    verdict = ownership(each.join(known, "hash", "left_semi"), wide)
     spans = (
         each.drop("source").distinct().join(verdict, "hash")
         .groupBy("row_id")
         .agg(
             F.array_sort(F.collect_list(F.when(F.col("added") & F.col("owned"), F.struct("at", "until")))).alias("more"),
-            F.sum(F.col("owned").cast("long")).alias("n_owned"),
+            F.sum((F.col("owned") & ~F.col("added")).cast("long")).alias("n_owned"),
             F.sum((F.col("n_owners") >= wide).cast("long")).alias("n_copied"),
         )
     )
+    # A part of an added value is not added beside it.
+    within = "exists(more, y -> y.at <= x.at and x.until <= y.until and y != x)"
+    spans = spans.withColumn("more", F.expr(f"filter(more, x -> not {within})")).withColumn("n_owned", F.col("n_owned") + F.size("more"))
     added = F.transform("more", lambda s: F.struct(s["at"].alias("at"), F.lit(4).alias("kind"), F.concat_ws(":", F.lit("owned"), s["at"], s["until"]).alias("word")))
     base = F.transform(
         F.filter(F.split("base", ","), lambda s: s != ""),

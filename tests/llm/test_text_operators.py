@@ -117,6 +117,20 @@ def test_ownership_tells_copied_from_live(spark):
     assert len(got) == 9
 
 
+def test_short_and_dotted_values_are_found_bare(spark):
+    short, dotted, example, word = "Xk29fjq0LmZ8", "q7Zt93.kLmP0xW2vB8nRdabcd", "Ab12cd34ef56", "chapter12of9x"
+    rows = [(1, f"password={short}", "a"), (2, f"so {short}. Then", "b"), (3, f"token: {dotted}.", "a"), (4, f"on {dotted}.", "a")]
+    rows += [(5, f"secret={example}", "a"), *((5 + k, f"an example {example} here", f"s{k}") for k in (1, 2, 3))]
+    rows += [(10 + k, f"see {word} and {word}.x", f"s{k}") for k in range(4)]
+    rows += [(20, f"key.{short}, {short}.com", "a")]
+    got = {r["doc_id"]: (r["spans"], r["n_owned"], r["n_copied"]) for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1] == ("assign:0:21", 1, 0) and got[2] == ("owned:3:15", 1, 0)
+    assert got[3] == (f"assign:0:{8 + len(dotted)}", 1, 0) and got[4] == (f"owned:3:{3 + len(dotted)}", 1, 0)
+    assert got[5] == ("assign:0:19", 0, 1) and got[6] == got[8] == ("", 0, 1)
+    assert got[10] == got[13] == ("", 0, 0)
+    assert got[20] == ("owned:4:16,owned:18:30", 2, 0)
+
+
 def test_secrets_odd_rows(odd, none):
     assert secrets.find(odd).count() == 6 and secrets.find(none).count() == 0
 
