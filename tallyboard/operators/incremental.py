@@ -39,7 +39,8 @@ def append_after(batch: DataFrame, ordinal: str, loaded_through: int) -> DataFra
 
 
 def write_days(df: DataFrame, path: str, day: str) -> None:
-    df.write.mode("errorifexists").partitionBy(day).parquet(path)
+    """Rows are dealt by day first, so a day has few files; a large day is split again."""
+    df.hint("rebalance", day).write.mode("errorifexists").partitionBy(day).parquet(path)
 
 
 def replace_days(batch: DataFrame, path: str, day: str) -> None:

@@ -78,3 +78,20 @@ def test_no_cartesian_products(spark):
     for name in ("e28_selective_curve", "e51_cascade_policy", "d08_cumulative_union", "d10_reconcile_scalar"):
         plan = entry_point.queries()[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_days_of_all_years_are_written(spark, duck):
+    from tallyboard.plans.bindings import Tables
+    from tallyboard.plans.store_plans import replaced_days
+
+    sql = entry_point.oracle_sql()["k04_replace_days"]
+    head = sql[: sql.rindex("select player_game_key")]
+    day = "coalesce(utc_date = date '1996-03-09', false)"
+    cur = duck.execute(
+        f"""{head} select player_game_key, strftime(utc_date, '%Y-%m-%d') as day, case when {day} then 2 else 1 end v
+        from pf where not ({day} and color='white')"""
+    )
+    want = canonical([d[0] for d in cur.description], cur.fetchall())
+    df = replaced_days(Tables(spark, str(SF)))
+    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == want
+    assert len({r[0][:4] for r in want[1]}) > 1 and {r[2] for r in want[1]} == {1, 2}
