@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
-from tallyboard.llm.shared import reach, table
+from tallyboard.llm.shared import reach, stage_table, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,21 +30,37 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of doc_id, null or not, and text, and the name of its column."""
+    name = next(n for n in ("row_key" + "_" * i for i in range(99)) if n not in docs.columns)
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")), name
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-copies the document with the smallest doc_id stays.
+    """Of each component of near-copies one row stays, that with the smallest doc_id.
 
-    Repeated rows of one doc_id stay once; documents without words or doc_id all stay.
+    Null doc_ids come last. Rows of one doc_id with different texts are told apart, equal
+    ones stay once; rows without words all stay.
     """
     reach(spark)
-    found = jaccard_join.near_components(docs)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    found = jaccard_join.near_components(rows.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0")
+    sizes = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", key)
+    ids = rows.select(key, F.col("doc_id").cast("long").alias("id")).distinct()
+    named = stage_table(sizes.join(ids, key), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", key)).alias("t")).select(F.col(f"t.{key}").alias(key))
+    gone = named.join(first, key, "left_anti").select(key)
+    twice = stage_table(named.where("n > 1").join(first, key, "left_semi").select(key), "twice")
+    kept = rows.join(gone, key, "left_anti")
+    once = kept.join(twice, key, "left_semi").dropDuplicates([key])
+    return kept.join(twice, key, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    found = decontaminate.find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,19 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none, folder):
         if name != "byte-level BPE":
             assert got.columns == [*odd.columns, "toxic"]
         assert stage(spark, none, folder).count() == 0
+
+
+def test_rows_with_one_id_or_none_are_told_apart(spark, folder, tmp_path):
+    from conftest import SCHEMA
+
+    same, near = "a b c d e f g h i j k l m n o p q r s t u v w", "another text of some words that is here and there only"
+    passage = spark.read.parquet(f"{folder}/benchmark.parquet").where("length(text) > 60").first()["text"]
+    rows = [(3, same), (3, same), (8, same), (None, same), (3, near), (None, near), (None, None), (None, "")]
+    rows += [(None, "only here with no id at all x y z"), (None, "only here with no id at all x y z")]
+    rows += [(9, f"x y {passage} z"), (9, "a clean text that has the id of another one"), (None, f"x {passage}")]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], SCHEMA).repartition(3)
+    got = stages.near_copies(spark, df.where("text is null or not text like 'x %'"), folder)
+    assert sorted(map(str, rows_of(got))) == sorted(map(str, [
+        (3, same), (3, near), (None, None), (None, ""), (None, rows[8][1]), (9, rows[11][1])]))
+    clear = stages.leaks(spark, df, folder)
+    assert sorted(map(str, rows_of(clear))) == sorted(map(str, [r for r in rows if passage not in (r[1] or "")]))
