@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard.functions.scalars import ERROR_CENTIPAWNS
@@ -184,7 +184,30 @@ def fit_calibrated(frame: DataFrame, seed: int = SEED, rounds: int = 40, depth:
     return (
         sigmoid.transform(margins(holdout))
         .withColumn("probability", vector_to_array("calibrated")[1])
-        .select("provider", "game_id", "ply", F.col("label").cast("int").alias("label"), "probability")
+        .select("provider", "game_id", "ply", F.col("label").cast("int").alias("label"), "margin", "probability")
+    )
+
+
+def order_check(holdout: DataFrame, bins: int = 4096) -> DataFrame:
+    """One row: rows, positives, probabilities inside 0..1, and where calibration changed an order.
+
+    A calibration by a rising function keeps the order of the margins. Margins are cut into
+    ``bins`` equal widths; a bin is out of order if its least probability is below the
+    greatest of the bins before it.
+    """
+    ends = holdout.agg(F.min("margin").alias("low"), F.max("margin").alias("high"))
+    low, width = ends.select("low").scalar(), ends.select(F.col("high") - F.col("low")).scalar()
+    at = F.coalesce(F.least(F.floor((F.col("margin") - low) / F.nullif(width, F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0))
+    p = F.col("probability")
+    cells = holdout.groupBy(at.alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("label").alias("ones"), F.count_if(p.between(0, 1)).alias("inside"),
+        F.min(p).alias("least"), F.max(p).alias("most"), F.covar_pop("margin", p).alias("slope"),
+    )
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # ``bins`` rows
+    wrong = (F.col("least") < F.max("most").over(before)) | (F.col("slope") < -1e-12)
+    return cells.withColumn("wrong", F.coalesce(wrong, F.lit(False))).agg(
+        F.sum("n").alias("rows"), F.sum("ones").alias("positives"), F.sum("inside").alias("probabilities"),
+        F.count_if("wrong").alias("out_of_order"),
     )
 
 

@@ -51,9 +51,8 @@ def run_checks(
 ) -> DataFrame:
     """The fact-table rules as rows (check, failures).
 
-    Both tables are read once and summed per game, players by color first; the two sums
-    meet in one join. Ratings are compared per game, for a color with several rows by the
-    largest pair.
+    Both tables are read once and summed per game, players by color first. Ratings are compared per game, for a color with several rows by the
+    largest of each.
     """
 
     def bad(condition: Column) -> Column:
@@ -78,11 +77,14 @@ def run_checks(
         | unless(F.col("ply_count") >= 0)
     )
     results = [*RESULTS, None]  # None: any other result, which gives no score
-    own = games.groupBy(*KEYS).agg(
-        F.count("*").alias("games"),
-        F.count_if(required).alias("required"),
+    own = games.select(
+        *KEYS,
+        F.lit(1).cast("bigint").alias("games"),
+        required.cast("bigint").alias("required"),
         *[
-            F.count_if(F.col("result") == r if r else ~F.coalesce(F.col("result").isin(*RESULTS), F.lit(False))).alias(f"r{i}")
+            (F.coalesce(F.col("result") == r, F.lit(False)) if r else ~F.coalesce(F.col("result").isin(*RESULTS), F.lit(False)))
+            .cast("bigint")
+            .alias(f"r{i}")
             for i, r in enumerate(results)
         ],
     )
@@ -93,7 +95,8 @@ def run_checks(
         F.sum("score").alias("total"),
         F.count_if(F.col("score") == 1).alias("won"),
         F.count_if(F.col("score") == 0).alias("lost"),
-        F.max(F.struct("rating", "opponent_rating")).alias("ratings"),
+        F.max("rating").alias("rating"),
+        F.max("opponent_rating").alias("opponent_rating"),
         *[
             F.count_if(
                 F.col("color").isin("white", "black")
@@ -102,23 +105,36 @@ def run_checks(
             for i, r in enumerate(results)
         ],
     )
-    sides = {c: F.max(F.when(F.col("color") == c, F.col("ratings"))).alias(c) for c in ("white", "black")}
-    per_game = by_color.groupBy(*KEYS).agg(
+    sides = [
+        F.max(F.when(F.col("color") == c, F.col(v))).alias(f"{c}_{v}")
+        for c in ("white", "black")
+        for v in ("rating", "opponent_rating")
+    ]
+    sums = ["games", "required", "total", "won", "lost"]
+    sums += [f"{v}{i}" for v in ("r", "right") for i in range(len(results))]
+    # Games and colors are laid on each other and summed in one shuffle, without a join.
+    both = own.unionByName(by_color, allowMissingColumns=True).groupBy(*KEYS).agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("color").isNotNull(), F.col("n"))).alias("colored"),
         F.count_if(F.col("n") != 1).alias("repeated"),
         F.count_if(F.col("color").isin("white", "black")).alias("colors"),
-        *[F.sum(c).alias(c) for c in ("total", "won", "lost", *(f"right{i}" for i in range(len(results))))],
-        *sides.values(),
+        *[F.sum(c).alias(c) for c in sums],
+        *[F.count_if(F.col("color") == c).alias(c) for c in ("white", "black")],
+        *sides,
     )
-    both = own.join(per_game, KEYS, "full_outer")
-    pairs = F.coalesce(F.col("colored") * F.col("games"), F.lit(0))
+    # A null key is no game's key: its player rows are orphans.
+    keyed = F.col("provider").isNotNull() & F.col("game_id").isNotNull()
+    pairs = F.when(keyed, F.coalesce(F.col("colored") * F.col("games"), F.lit(0))).otherwise(0)
     wrong = sum(
-        (F.col(f"r{i}") * (F.col("rows") - F.col(f"right{i}")) for i in range(len(results))), F.lit(0)
+        (
+            F.coalesce(F.col(f"r{i}"), F.lit(0)) * (F.coalesce("rows", F.lit(0)) - F.coalesce(f"right{i}", F.lit(0)))
+            for i in range(len(results))
+        ),
+        F.lit(0),
     )
-    uneven = ~F.col("white.rating").eqNullSafe(F.col("black.opponent_rating")) | ~F.col(
-        "black.rating"
-    ).eqNullSafe(F.col("white.opponent_rating"))
+    uneven = ~F.col("white_rating").eqNullSafe(F.col("black_opponent_rating")) | ~F.col(
+        "black_rating"
+    ).eqNullSafe(F.col("white_opponent_rating"))
     found = F.col("games").isNotNull()
     return _unfold(
         both,
@@ -127,12 +143,12 @@ def run_checks(
             "unique_player_keys": F.sum("repeated"),
             "required_game_fields": F.sum("required"),
             "two_participants": F.count_if(found & ((pairs != 2) | (F.coalesce("colors", F.lit(0)) != 2))),
-            "no_orphans": F.sum(F.when(~found, F.col("rows"))),
-            "participant_scores": F.sum(wrong),
+            "no_orphans": F.sum(F.when(~found | ~keyed, F.col("rows"))),
+            "participant_scores": F.sum(F.when(keyed, wrong)),
             "score_conservation": F.count_if(F.col("total") != 1),
             "wins_equal_losses": F.abs(F.sum("won") - F.sum("lost")),
             "rating_symmetry": F.count_if(
-                F.col("white").isNotNull() & F.col("black").isNotNull() & uneven
+                (F.col("white") > 0) & (F.col("black") > 0) & uneven
             ),
         },
     )

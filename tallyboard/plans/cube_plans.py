@@ -17,14 +17,14 @@ from tallyboard.operators import windows as W
 from tallyboard.plans.bindings import Tables
 from tallyboard.plans.catalog import query
 from tallyboard.plans.facts import CLOCK_SQL, RATING_SQL
-from tallyboard.session import scratch_path
+from tallyboard.session import scratch, scratch_path
 from tallyboard.sources import tables as A
 
 PERIOD = """strftime(utc_date,'%Y-%m') period, date_trunc('month',utc_date)::date period_start,
   last_day(utc_date) period_end"""
 OUT = """count(*) games, count(*) filter (where score=1) wins, count(*) filter (where score=0.5) draws,
   count(*) filter (where score=0) losses, avg(rating-opponent_rating) rating_diff, avg(ply_count) mean_ply"""
-TRAINING = dict(elite_low=2000, elite_high=2200)
+TRAINING = dict(minimum_plies=3, elite_low=2000, elite_high=2200)
 
 CELLS = f"""{CLOCK_SQL},
 gc as (select {PERIOD}, time_control, family opening_family, count(*) games, avg(ply_count) mean_ply
@@ -271,8 +271,8 @@ def grains(t: Tables) -> list[DataFrame]:
 
 def stored_cube(t: Tables) -> DataFrame:
     """The cube, built once per folder and session and kept in the shared folder."""
-    kept = t.spark.sparkContext.__dict__.setdefault("_tallyboard_cubes", {})
-    if (key := (t.sf_dir, t.version)) not in kept:
+    kept = scratch(t.spark).tables
+    if (key := ("cube", t.sf_dir, t.version)) not in kept:
         path = scratch_path(t.spark, "cube")
         A.write_cube(grains(t), path)
         kept[key] = path

@@ -18,7 +18,7 @@ from tallyboard.plans.catalog import query
 from tallyboard.plans.cube_plans import CUBE, CUBE_VIEWS, stored_cube
 from tallyboard.plans.facts import MOVE_EVALS_SQL, PLAYER_FLAGS_SQL
 from tallyboard.schemas import FACT_PLAYER_GAME
-from tallyboard.session import materialize, scratch_path
+from tallyboard.session import materialize, scratch_path, stored_table
 from tallyboard.sources import tables as A
 from tallyboard.sources import text as X
 
@@ -680,14 +680,13 @@ def replaced_days(t: Tables):
 
 @query(
     "k04_replace_days",
-    """select player_game_key, strftime(utc_date, '%Y-%m-%d') as day, case when month(utc_date)=3 and day(utc_date)=9
-    then 2 else 1 end v from pf where year(utc_date)=1996 and not (month(utc_date)=3 and day(utc_date)=9 and color='white')""",
+    """select player_game_key, strftime(utc_date, '%Y-%m-%d') as day, case when again then 2 else 1 end v
+    from (select *, coalesce(utc_date = date '1996-03-09', false) again from pf) where not (again and color='white')""",
     "g p",
     PLAYER_FLAGS_SQL,
 )
 def _(t: Tables):
-    # The SQL shows one year of what was written.
-    return replaced_days(t).where("left(day, 4) = '1996'")
+    return replaced_days(t)
 
 
 @query(
@@ -796,19 +795,48 @@ def _(t: Tables):
     return J.grouped_split(frame, "game_id").select("game_id", "ply", "part")
 
 
+HOLDOUT = f"""{TRAIN},
+hold as (select error_proxy::int as label from tf join
+  (select game_id, row_number() over (order by sha256('20261031:' || game_id), game_id) rk, count(*) over () n
+  from (select distinct game_id from tf)) using (game_id) where rk<=least(n-1, ceil(n*0.25)))"""
+
+
+def holdout(t: Tables):
+    """The scored holdout of the fitted trees, kept once per folder and session."""
+    def fit():
+        return J.fit_calibrated(J.training_frame(t.move_facts, t.games, PREFIXES))
+
+    return stored_table(t.spark, (t.sf_dir, t.version, "holdout"), fit)
+
+
+@query("j03_fit_calibrated")
+def _(t: Tables):
+    # The fitted numbers depend on the trees: SQL states the two queries after this one.
+    return holdout(t)
+
+
 @query(
-    "j03_fit_calibrated",
-    """select game_id, ply, error_proxy::int as label, true as is_probability from tf join
-    (select game_id, row_number() over (order by sha256('20261031:' || game_id), game_id) rk, count(*) over () n
-    from (select distinct game_id from tf)) using (game_id) where rk<=least(n-1, ceil(n*0.25))""",
+    "j03_holdout_order",
+    """select count(*) as rows, sum(label)::bigint positives, count(*) probabilities, 0::bigint out_of_order from hold""",
     "mf",
-    TRAIN,
+    HOLDOUT,
 )
 def _(t: Tables):
-    # The fitted number itself is no matter for SQL; whose it is, and its range, are.
-    frame = J.training_frame(t.move_facts, t.games, PREFIXES)
-    return J.fit_calibrated(frame).select(
-        "game_id", "ply", "label", F.col("probability").between(0, 1).alias("is_probability")
+    return J.order_check(holdout(t))
+
+
+@query(
+    "j04_holdout_calibration",
+    """select 5::bigint bins, count(*) as rows, sum(label)::bigint positives from hold""",
+    "mf",
+    HOLDOUT,
+)
+def _(t: Tables):
+    # Counts and observed means of the bins give the holdout back.
+    return J.evaluate_calibration(holdout(t), 5).agg(
+        F.count("*").alias("bins"),
+        F.sum("count").alias("rows"),
+        F.round(F.sum(F.col("count") * F.coalesce("mean_observed", F.lit(0.0)))).cast("bigint").alias("positives"),
     )
 
 

@@ -7,6 +7,7 @@ import contextlib
 import hashlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,28 @@ SETTINGS = {
 }
 
 
+class Scratch:
+    """What a session wrote to the shared folder: its own folder, paths and named tables."""
+
+    def __init__(self):
+        self.folder: str | None = None
+        self.paths: list[str] = []
+        self.tables: dict[tuple, object] = {}
+
+
+_SCRATCH: weakref.WeakKeyDictionary[SparkSession, Scratch] = weakref.WeakKeyDictionary()
+
+
+def scratch(spark: SparkSession) -> Scratch:
+    return _SCRATCH.setdefault(spark, Scratch())
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark in list(_SCRATCH):
+        release(spark)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings that the operators count on."""
     for name, value in SETTINGS.items():
@@ -53,29 +76,23 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    created = getattr(spark.sparkContext, "_tallyboard_dir", None)
-    if created is None:
-        created = tempfile.mkdtemp(prefix="run-tallyboard-")
-        spark.sparkContext._tallyboard_dir = created
-    return created
+    own = scratch(spark)
+    own.folder = own.folder or tempfile.mkdtemp(prefix="run-tallyboard-")
+    return own.folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder, deleted by :func:`release` or at exit."""
-    paths = spark.sparkContext.__dict__.get("_tallyboard_paths")
-    if paths is None:
-        paths = spark.sparkContext._tallyboard_paths = []
-        atexit.register(release, spark)
+    paths = scratch(spark).paths
     paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     return paths[-1]
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this session wrote to the shared folder. Frames that read it end."""
-    kept = spark.sparkContext.__dict__
-    kept.pop("_tallyboard_tables", None)
-    kept.pop("_tallyboard_cubes", None)
-    paths = kept.get("_tallyboard_paths", [])
+    own = scratch(spark)
+    own.tables.clear()
+    paths = own.paths
     with contextlib.suppress(Exception):  # the JVM may be gone at exit
         while paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
@@ -116,7 +133,7 @@ def stored_table(spark: SparkSession, key: tuple[str, ...], build) -> DataFrame:
     ``build`` gives the frame the first time. Many operators read the same facts; a
     stored table also survives the loss of any executor.
     """
-    kept = spark.sparkContext.__dict__.setdefault("_tallyboard_tables", {})
+    kept = scratch(spark).tables
     if key not in kept:
         df = build()
         path = scratch_path(spark, key[-1])

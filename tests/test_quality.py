@@ -222,8 +222,17 @@ def test_checks_read_each_table_once(facts):
     def exchanges(df):
         return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
-    # Games by key, players by color and by key, and at most one more for the join.
-    assert exchanges(I.run_checks(*facts, "lichess", 8)) <= 4 + exchanges(facts[1])
+    # Players by color, then games and players by key.
+    assert exchanges(I.run_checks(*facts, "lichess", 8)) == 2
+
+
+def test_checks_take_a_null_key_for_no_game(spark, facts):
+    games, players = facts
+    lost = F.when(F.col("game_id") == "00000004", None).otherwise(F.col("game_id")).alias("game_id")
+    def unnamed(df):
+        return df.select(*[lost if c == "game_id" else c for c in df.columns])
+    got = {r.check: r.failures for r in I.run_checks(unnamed(games), unnamed(players), "lichess", 8).collect()}
+    assert got["no_orphans"] == 2 and got["two_participants"] == 1 and got["required_game_fields"] == 1
 
 
 def test_stored_tables_follow_their_files(spark, tmp_path):

