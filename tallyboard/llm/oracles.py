@@ -43,3 +43,19 @@ t as (select doc_id, doc_id as c from s union select u.b, t.c from t join u on u
 select s.doc_id, len(h)::bigint n_shingles, min(c)::bigint component_id from s join t using (doc_id) group by s.doc_id, h"""
 
 ORACLES = {"op1_line_dedup": LINES, "op5_decontaminate": LEAKS, "op6_jaccard_join": NEAR}
+
+TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""with d as (select row_number() over () k, doc_id, {TERMS.format(text=LOWER)} t from documents),
+u as (select k, doc_id, len(t) n from d where len(t)>0),
+c as (select count(*)::bigint nn, sum(n)::bigint ll from u),
+f as (select k, term, count(*) tf from (select k, unnest(t) term from d) group by 1, 2),
+w as (select term, floor(1000*ln((2*nn+2)/(2*count(*)+1)))::bigint w from f, c group by term, nn),
+q as (select item, item_id, term, count(*) r from (select row_number() over () item, item_id, unnest(t) term from
+  (select distinct item_id, text, {TERMS.format(text=LOWER)} t from benchmark)) group by 1, 2, 3),
+s as (select item, item_id, k, doc_id, sum(r*w*((1000000000*tf)//(1000*tf+12*(75+(25*n*nn)//ll))))::bigint score
+  from q join w using (term) join f using (term) join u using (k), c group by 1, 2, 3, 4)
+select item_id, row_number() over (partition by item order by score desc, doc_id nulls last)::int as rank, doc_id, score
+from s where score>0 qualify rank<=20"""
+
+ORACLES["op13_ranked_search"] = RANKED

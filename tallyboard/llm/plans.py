@@ -12,6 +12,7 @@ from tallyboard.llm import (
     decontaminate,
     fingerprint,
     jaccard_join,
+    lexical,
     line_dedup,
     oracles,
     quality,
@@ -31,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8,
     "op9_fingerprint": fingerprint.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op13_ranked_search": lexical.op13,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
