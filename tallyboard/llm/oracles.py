@@ -59,3 +59,26 @@ select item_id, row_number() over (partition by item order by score desc, doc_id
 from s where score>0 qualify rank<=20"""
 
 ORACLES["op13_ranked_search"] = RANKED
+
+#: crc32 of a short text, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda p, q: case when p & 1 = 1 then xor(p >> 1, 3988292384::bigint) else p >> 1 end)), 4294967295::bigint)"""
+
+TRIE = f"""with t as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id
+  order by turn nulls first, coalesce(role, ''), coalesce(text, '')) i from conversations where conv_id is not null),
+o as (select c, list({{'r': r, 'x': x}} order by i) own, {CRC.format(text="c::varchar")} % 9 h from t group by c),
+b as (select o.c, list_concat(coalesce(list_slice(z.own, 1, o.h), []), list_slice(o.own, o.h+1, len(o.own))) a
+  from o left join o z on z.c = o.c - o.c%5),
+p as (select c, d, list_slice(a, 1, d) k, d = len(a) ending from (select c, a, unnest(range(0, len(a)+1)) d from b)),
+n as (select d, k, count(*) n, min(c) rep, coalesce(string_agg(c::varchar, ',' order by c) filter (where ending), '') ends,
+  case when d=0 then 0 else (count(*)-1)*strlen(k[d].x) end saves from p group by d, k),
+q as (select p.c, p.d, n.rep, n.n from p join n on n.d=p.d and n.k=p.k),
+m as (select u.rep, u.d, count(*) children from n w join q u on u.c=w.rep and u.d=w.d-1 group by 1, 2),
+s as (select u.rep, u.d, sum(w.saves) saved, sum((m.children is null)::int) leaves from n w left join m on m.rep=w.rep and m.d=w.d
+  join q u on u.c=w.rep and u.d<=w.d group by 1, 2)
+select n.rep conv_id, n.d::bigint as depth, u.rep parent_conv_id, n.n n_convs, coalesce(m.children, 0)::bigint n_children,
+  s.leaves::bigint n_leaves, s.saved::bigint saved_tokens, sha256(n.ends) ends_sha256
+from n join s on s.rep=n.rep and s.d=n.d left join m on m.rep=n.rep and m.d=n.d left join q u on u.c=n.rep and u.d=n.d-1"""
+
+ORACLES["op12_prefix_trie"] = TRIE

@@ -15,6 +15,7 @@ from tallyboard.llm import (
     lexical,
     line_dedup,
     oracles,
+    prefix_trie,
     quality,
     secrets,
     substring_dedup,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8,
     "op9_fingerprint": fingerprint.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op12_prefix_trie": prefix_trie.op12,
     "op13_ranked_search": lexical.op13,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)

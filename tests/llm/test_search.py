@@ -1,14 +1,17 @@
 """Ranked search, vector search and the prefix trie against brute force."""
 
+import hashlib
 import math
+import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyboard.llm import lexical
+from tallyboard.llm import lexical, prefix_trie
 
 # Ranked search
 
@@ -78,3 +81,82 @@ def test_ranked_search_reads_from_the_top_only():
     found, scores = lexical.search(lists, n, np.array([0, 1]), np.array([1, 1]), 3, 0)
     assert set(np.asarray(found).tolist()) == {5, 6, 7} and sorted(scores.tolist()) == [10**5 + n - 7, 10**6 + n - 6, 10**7 + n - 5]
     assert max(stop for start, stop in reads if start < n) < n / 4
+
+
+# Prefix trie
+
+
+def brute_trie(rows):
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [r[2:] for r in sorted(t)] for c, t in own.items()}
+    whole = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - int(math.fmod(c, 5))
+        whole[c] = tuple(own.get(base, [])[:h] + turns[h:])
+    members = {}
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    children = Counter(k[:-1] for k in members if k)
+    below = {k: [m for m in members if m[: len(k)] == k] for k in members}
+    out = []
+    for k, held in members.items():
+        ends = ",".join(map(str, sorted(c for c in held if whole[c] == k)))
+        saved = sum((len(members[m]) - 1) * len(m[-1][1].encode()) for m in below[k] if m)
+        out.append((min(held), len(k), min(members[k[:-1]]) if k else None, len(held), children[k],
+                    sum(not children[m] for m in below[k]), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out)
+
+
+def talks(seed, n):
+    rng = random.Random(seed)
+    rows = []
+    for c in rng.sample(range(-9, 60), n):
+        long = 40 if rng.random() < 0.1 else 9
+        for turn in range(rng.randrange(1, long)):
+            text = rng.choice(["é漢", "b", "", None, "long text"]) if rng.random() < 0.2 else f"t{turn % 2}"
+            rows.append((c, turn if rng.random() < 0.95 else None, rng.choice(["u", "u", "u", None]), text))
+    return rows + rows[:3] + [(None, 0, "u", "lost"), (None, None, None, None)]
+
+
+TALK = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("seed,fan,block,limit", [(1, 4096, 4096, 1000), (2, 2, 3, 1), (3, 3, 2, 2)])
+def test_trie(spark, seed, fan, block, limit):
+    rows = talks(seed, 40)
+    df = spark.createDataFrame(rows, TALK).withColumns({c: F.lit(7) for c in ("n", "rep", "depth", "place", "h")})
+    got = [tuple(r) for r in prefix_trie.trie(df, fan, block, limit).collect()]
+    assert sorted(got) == brute_trie(rows)
+
+
+def test_trie_of_copies_and_of_nothing(spark):
+    rows = [(c, t, "u", f"line {t}") for c in range(300) for t in range(3)] + [(1000, t, "u", f"line {t}") for t in range(120)]
+    got = [tuple(r) for r in prefix_trie.trie(spark.createDataFrame(rows, TALK), 16, 32, 8).collect()]
+    assert sorted(got) == brute_trie(rows)
+    assert prefix_trie.trie(spark.createDataFrame([], TALK)).count() == 0
+    assert prefix_trie.trie(spark.createDataFrame([(None, 1, "u", "x")], TALK)).count() == 0
+
+
+def test_queue_spills_and_keeps_the_order():
+    rng = random.Random(5)
+    queue, held, got = prefix_trie.SpillingQueue(4), [], []
+    for i in range(2000):
+        entry = (rng.randrange(50), *[0] * 7, i)
+        if held and rng.random() < 0.45:
+            assert queue.peek() == min(held)
+            got.append(queue.pop())
+            held.remove(got[-1])
+        else:
+            queue.push(entry)
+            held.append(entry)
+            assert len(queue.held) <= 4
+    assert queue.spilled > 100
+    while queue.peek() is not None:
+        assert queue.peek() == min(held)
+        held.remove(queue.pop())
+    assert not held
