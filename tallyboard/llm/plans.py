@@ -14,6 +14,7 @@ from tallyboard.llm import (
     jaccard_join,
     lexical,
     line_dedup,
+    nearest,
     oracles,
     prefix_trie,
     quality,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8,
     "op9_fingerprint": fingerprint.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_adaptive_scan": nearest.op11,
     "op12_prefix_trie": prefix_trie.op12,
     "op13_ranked_search": lexical.op13,
 }

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyboard.llm import lexical, prefix_trie
+from tallyboard.llm import lexical, nearest, prefix_trie
 
 # Ranked search
 
@@ -160,3 +160,95 @@ def test_queue_spills_and_keeps_the_order():
         assert queue.peek() == min(held)
         held.remove(queue.pop())
     assert not held
+
+
+# Nearest neighbours
+
+
+def brute_near(rows, best=20):
+    held = {}
+    for i, v in rows:
+        if i is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v):
+            held.setdefault(i, []).append(np.array(v, float))
+    sizes = Counter(len(v) for many in held.values() for v in many)
+    dim = max(sizes, key=lambda s: (sizes[s], s), default=0)
+    held = {i: kept for i, many in held.items() if (kept := [v for v in many if len(v) == dim])}
+    out = {}
+    for q in held:
+        if math.fmod(q, 20) == 0:
+            scores = sorted((-max((a * b).sum() for a in held[q] for b in held[i]), i) for i in held if i != q)
+            out[q] = [(i, -s) for s, i in scores[:best]]
+    return out
+
+
+def vectors_of(seed, n, dim=32):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((6, dim)) * 3
+    return [(i, (centres[i % 6] * (i % 2) + rng.standard_normal(dim) * (1 + i % 3)).tolist()) for i in range(n)]
+
+
+VECTOR = "vec_id long, embedding array<double>"
+
+
+def found_near(df, **how):
+    out = {}
+    for q, rank, i, s in nearest.search(df, df.where("vec_id % 20 = 0"), **how).collect():
+        out.setdefault(q, []).append((rank, i, s))
+    for got in out.values():
+        got.sort()
+        assert [g[0] for g in got] == list(range(1, len(got) + 1))
+        assert [(-g[2], g[1]) for g in got] == sorted((-g[2], g[1]) for g in got)
+    return {q: [(i, s) for _, i, s in got] for q, got in out.items()}
+
+
+def test_nearest_recall_and_scores(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 60)
+    monkeypatch.setattr(nearest, "QUERIES", 7)
+    rows = vectors_of(3, 1500)
+    rows += [(5000 + i, rows[40][1]) for i in range(400)]  # a hot vector: ties by id
+    df = spark.createDataFrame(rows, VECTOR).repartition(6)
+    got, want = found_near(df), brute_near(rows)
+    assert set(got) == set(want)
+    held = dict(rows)
+    for q, found in got.items():
+        assert all(abs(s - (np.array(held[q]) * np.array(held[i])).sum()) < 1e-9 for i, s in found) and len(found) == 20
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.93 * 20 * len(want)
+    assert [i for i, _ in got[40]] == [i for i, _ in want[40]]  # copies in the home list, by id
+    # Without a limit on lists and deviations the search is exact.
+    monkeypatch.setattr(nearest.scan, "__defaults__", (20, 16, 1e9, None))
+    whole = found_near(df, target=2.0)
+    assert {q: [i for i, _ in f] for q, f in whole.items()} == {q: [i for i, _ in f] for q, f in want.items()}
+
+
+def test_nearest_odd_rows(spark):
+    rows = vectors_of(5, 45, 5)
+    bad = [(None, [1.0] * 5), (100, None), (120, []), (140, [0.0] * 5), (160, [1.0, None, 1.0, 1.0, 1.0]), (180, [1.0, math.nan, 0, 0, 0]),
+           (200, [math.inf, 0, 0, 0, 0.0]), (220, [1.0, 2.0]), (20, rows[20][1]), (20, [1.0, 2.0, 3.0, 4.0, 5.0]), (7, rows[7][1]), (-20, rows[3][1])]
+    df = spark.createDataFrame([(i, None if v is None else [None if c is None else float(c) for c in v]) for i, v in rows + bad], VECTOR)
+    df = df.withColumns({c: F.lit("x") for c in ("list", "score", "rank", "part", "label")})
+    got, want = found_near(df, target=2.0), brute_near(rows + bad)
+    assert set(got) == set(want)
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
+    few = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, [1.0, 0.5])], VECTOR)
+    assert found_near(few) == {0: [(2, 1.25), (1, 0.75)]}
+    assert found_near(few.where("vec_id = 0")) == {} and found_near(few.where("vec_id > 9")) == {}
+
+
+def test_scan_abandons_pairs_early():
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((6000, 128))
+    queries = vectors[:8] + 0.3 * rng.standard_normal((8, 128))
+    for i in range(8):  # twenty near ones for each query
+        vectors[100 + 20 * i : 120 + 20 * i] = queries[i] + 0.3 * rng.standard_normal((20, 128))
+    rotation, _ = np.linalg.qr(rng.standard_normal((128, 128)))
+    read = []
+    none = np.full(8, -np.inf)
+    row, ids, scores = nearest.scan(vectors, np.arange(6000), queries, np.full(8, -1), none, rotation, read=read)
+    whole = queries @ vectors.T
+    for i in range(8):
+        want = np.argsort(-whole[i], kind="stable")[:20]
+        assert len(set(ids[row == i]) & set(want)) >= 19
+    assert sum(read) < 0.6 * 6000 * 8 * 128
