@@ -14,6 +14,7 @@ step ``i // lanes``; checkpoint c stands before step ``c * every``.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from functools import lru_cache
@@ -34,6 +35,8 @@ LOW = np.uint64(1 << 31)
 LANES = 1024
 EVERY = 128
 BLOCK_IDS = 1 << 18
+#: Pre-tokens that the library gets as one text.
+JOINED = 1000
 
 
 class Frequencies(NamedTuple):
@@ -138,9 +141,23 @@ def _pieces(data: bytes) -> pretoken.Pieces:
 
     own = Tokenizer.from_str(data.decode())
     own.encode_special_tokens = True
+    vocabulary = own.get_vocab()
+    lengths = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+    for token, number in vocabulary.items():
+        lengths[number] = len(token)  # a byte-level token has one sign for each byte
 
     def encode(pieces):
-        return [e.ids for e in own.encode_batch_fast(pieces, add_special_tokens=False)]
+        # A blank and letters are a pre-token wherever they stand before the next such one:
+        # these go to the library as one text, whose ids are dealt out by their bytes.
+        plain = [p[:1] == " " and p[1:].isalpha() for p in pieces]
+        some = list(itertools.compress(pieces, plain))
+        joined = own.encode_batch_fast(["".join(some[a : a + JOINED]) for a in range(0, len(some), JOINED)], add_special_tokens=False)
+        ids = [i for e in joined for i in e.ids]
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in some), np.int64, len(some)))
+        at = np.concatenate([[0], np.searchsorted(np.cumsum(lengths[ids]), ends, "left") + 1]) if some else [0]
+        dealt = iter([ids[a:b] for a, b in zip(at, at[1:])])
+        others = iter([e.ids for e in own.encode_batch_fast([p for p, is_plain in zip(pieces, plain) if not is_plain], add_special_tokens=False)])
+        return [next(dealt if is_plain else others) for is_plain in plain]
 
     return pretoken.Pieces(encode)
 
@@ -176,7 +193,9 @@ def tokenize(df: DataFrame, tokenizer: bytes, end_id: int, parts: int | None = N
                 place += int(ends[-1])
 
     rows = df.select("doc_id", "text")
-    rows = rows.repartitionByRange(parts, "doc_id") if parts else rows.repartitionByRange("doc_id")
+    # Rows of one id are dealt by how their texts begin, which agrees with their order.
+    keys = ["doc_id", F.left("text", F.lit(64))]
+    rows = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
     return rows.sortWithinPartitions("doc_id", "text").mapInArrow(
         run, "doc_id long, part int, place long, n_tokens long, ids binary"
     )
@@ -267,7 +286,12 @@ def read_blocks(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def write(df: DataFrame, tokenizer: bytes, vocabulary_size: int, end_id: int) -> tuple[DataFrame, np.ndarray]:
-    """(stored blocks, id counts) of all texts of ``df``."""
+    """(stored blocks, id counts) of all texts of ``df``.
+
+    Ids are kept in 16 bits before they are coded; a larger vocabulary is refused.
+    """
+    if vocabulary_size > 1 << 16 or not 0 <= end_id < vocabulary_size:
+        raise ValueError("ids must lie below the size of the vocabulary, which is at most 65,536")
     tokens = stage_table(tokenize(df, tokenizer, end_id), "tokens")
     counts = count_ids(tokens, vocabulary_size)
     return stage_table(encode_blocks(tokens, counts), "blocks"), counts

@@ -11,6 +11,7 @@ further columns change nothing. Texts are whole, whatever their length.
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -172,21 +173,56 @@ def decode(df: DataFrame, vocabulary: bytes) -> DataFrame:
     return df.mapInArrow(run, _schema(df, keep, "decoded binary"))
 
 
+def ids_digest(ids: str = "ids"):
+    """SHA-256 of the decimal ids joined by commas."""
+    return F.sha2(F.concat_ws(",", F.col(ids).cast("array<string>")), 256)
+
+
 def digests(df: DataFrame) -> DataFrame:
     """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of encoded and decoded rows."""
-    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return df.withColumns({
         "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(decimal, 256),
+        "ids_sha256": ids_digest(),
         "decoded_sha256": F.sha2(F.col("decoded"), 256),
     })
 
 
+def round_trip(df: DataFrame, vocabulary: bytes, text: str = "text") -> DataFrame:
+    """``df`` without its text, with ``ids array<int>`` and ``decoded_sha256``, the digest of
+    the bytes that the ids decode to.
+
+    The same as :func:`encode`, :func:`decode` and a digest, in one worker and one text at a
+    time, so neither texts nor decoded bytes travel back. Columns with these names are replaced.
+    """
+    keep = [c for c in df.columns if c != text]
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # bounded: one vocabulary
+
+    def run(batches):
+        own = _vocabulary(shared.value)
+        for batch in batches:
+            texts = batch.column(text)
+            for a, b in passes(texts):
+                ids, bounds = pretoken.encode_texts([t or "" for t in texts.slice(a, b - a).to_pylist()], own.pieces)
+                ends = np.concatenate([[0], own.ends(ids)])[bounds]
+                out = []
+                for i in range(b - a):
+                    data = own.decode(ids[bounds[i] : bounds[i + 1]])
+                    if len(data) != ends[i + 1] - ends[i]:
+                        raise ValueError("ids and offsets do not belong together")
+                    out.append(hashlib.sha256(data).hexdigest())
+                yield _with(batch.slice(a, b - a), keep, {
+                    "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
+                    "decoded_sha256": pa.array(out, pa.string()),
+                })
+
+    return df.mapInArrow(run, _schema(df, keep, "ids array<int>, decoded_sha256 string"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded, decoded and digested."""
     import public_tokenizers
 
     vocabulary = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode(docs, vocabulary).drop("text")
-    return digests(decode(encoded, vocabulary)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = round_trip(docs, vocabulary)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), "decoded_sha256")

@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from tallyboard.llm.shared import powers, splitmix
+
 # Symbols. "Last" white space is followed by a character of the same text that is not white.
 LETTER, NUMBER, OTHER, SHORT, LONG, LAST_SPACE, LAST_WHITE, WHITE, RESET = range(9)
 # States: what the codepoint before belonged to.
@@ -110,6 +112,12 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """(joined, cuts, first): pre-token j of text i is ``joined[cuts[j]:cuts[j + 1]]``
     for ``first[i] <= j < first[i + 1] - 1``; the last cut of a text is its end.
     """
+    joined, _, cuts, first = _boundaries(texts)
+    return joined, cuts, first
+
+
+def _boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the codepoints of ``joined``."""
     classes, of_symbol, compose, apply, begins, size = tables()
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -139,47 +147,93 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     cuts = np.flatnonzero(cut)
     first = np.zeros(len(texts) + 1, np.int64)
     first[1:] = np.searchsorted(cuts, stops, "right")
-    return joined, cuts, first
+    return joined, points, cuts, first
+
+
+def hashes_of(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes, never 0, of the runs of codepoints from each start to its stop.
+
+    Runs follow each other without gaps.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = stops - starts
+    place = np.arange(int(stops[-1] - starts[0])) - np.repeat(starts - starts[0], sizes)
+    with np.errstate(over="ignore"):
+        parts = mixed()[points[starts[0] : stops[-1]]] * powers(int(sizes.max()))[place]
+        return splitmix(np.add.reduceat(parts, starts - starts[0]) + sizes.astype(np.uint64)) | np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def mixed() -> np.ndarray:
+    """A 64-bit number for each codepoint."""
+    with np.errstate(over="ignore"):
+        return splitmix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Pieces:
     """Ids of pre-tokens, each distinct one encoded once while it stays in the cache.
 
-    ``encode(list of pre-tokens)`` gives a list of id lists. At ``limit`` pre-tokens the
-    cache starts anew, which bounds its memory and changes no result.
+    ``encode(list of pre-tokens)`` gives a list of id lists. Pre-tokens are known by 64-bit
+    hashes in an open table; only those that are new are cut out of their text. At ``limit``
+    pre-tokens the cache starts anew, which bounds its memory and changes no result.
     """
 
-    class _Slots(dict):
-        def __missing__(self, piece):
-            slot = self[piece] = len(self)
-            self.fresh.append(piece)
-            return slot
-
     def __init__(self, encode, limit: int = 400_000):
         self.encode, self.limit = encode, limit
-        self._clear()
+        self._clear(limit)
 
-    def _clear(self):
-        self.slots = self._Slots()
-        self.slots.fresh = []
+    def _clear(self, room: int):
+        size = 1 << int(max(room, self.limit) * 2).bit_length()
+        self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self.mask = np.uint64(size - 1)
         self.ids = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
 
-    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in a row, number of ids of each piece)."""
-        if len(self.slots) > self.limit:
-            self._clear()
-        slots = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
-        if self.slots.fresh:
-            found = self.encode(self.slots.fresh)
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where it is not held."""
+        out = np.full(len(hashes), -1, np.int64)
+        todo, at = np.arange(len(hashes)), hashes & self.mask
+        while len(todo):
+            held = self.keys[at]
+            same = held == hashes[todo]
+            out[todo[same]] = self.slots[at[same]]
+            further = ~same & (held != 0)
+            todo, at = todo[further], (at[further] + np.uint64(1)) & self.mask
+        return out
+
+    def _add(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        at = hashes & self.mask
+        while len(hashes):
+            free = self.keys[at] == 0
+            _, one = np.unique(at[free], return_index=True)
+            chosen = np.flatnonzero(free)[one]  # one hash for each free place
+            self.keys[at[chosen]], self.slots[at[chosen]] = hashes[chosen], slots[chosen]
+            left = np.ones(len(hashes), bool)
+            left[chosen] = False
+            hashes, slots, at = hashes[left], slots[left], (at[left] + np.uint64(1)) & self.mask
+
+    def lookup(self, hashes: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of ids of each piece); ``piece(i)`` is the i-th."""
+        slots = self._find(hashes)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh, first = np.unique(hashes[new], return_index=True)
+            if len(self.sizes) and len(self.sizes) + len(fresh) > self.limit:
+                self._clear(len(np.unique(hashes)))
+                return self.lookup(hashes, piece)
+            if len(fresh) > self.limit:
+                self._clear(len(fresh))
+            found = self.encode([piece(i) for i in new[first].tolist()])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))
-            starts = len(self.ids) + np.cumsum(sizes) - sizes
+            known = len(self.sizes)
+            self._add(fresh, np.arange(known, known + len(fresh), dtype=np.int32))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.ids = np.concatenate([self.ids, ids])
-            self.starts = np.concatenate([self.starts, starts])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.slots.fresh = []
+            slots[new] = self._find(hashes[new])
         sizes = self.sizes[slots]
         return self.ids[spread(self.starts[slots], sizes)], sizes
 
@@ -193,14 +247,15 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def encode_texts(texts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, where each text's ids begin and, last, where all end)."""
-    joined, cuts, first = boundaries(texts)
-    at = cuts.tolist()
-    words = [joined[a:b] for a, b in zip(at, at[1:])]
+    joined, points, cuts, first = _boundaries(texts)
+    starts, stops = cuts[:-1], cuts[1:]
     # From the end of one text to the start of the next there is the separator: no token.
-    gaps = first[1:-1] - 1
-    for g in gaps[::-1].tolist():
-        words[g] = ""
-    ids, sizes = pieces.lookup(words)
+    real = np.ones(len(starts), bool)
+    real[first[1:-1] - 1] = False
+    own = np.flatnonzero(real)
+    ids, found = pieces.lookup(hashes_of(points, starts, stops)[own], lambda i: joined[starts[own[i]] : stops[own[i]]])
+    sizes = np.zeros(len(starts), np.int64)
+    sizes[own] = found
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    bounds = ends[np.minimum(first, len(words))]
+    bounds = ends[np.minimum(first, len(starts))]
     return ids, bounds

@@ -86,7 +86,8 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _POWERS = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
+    """At least ``n`` powers of the base of the hashes, from the 0th on."""
     global _POWERS
     if len(_POWERS) < n:
         steps = np.full(max(n, 256), _BASE, np.uint64)
@@ -132,7 +133,7 @@ def _hash_words(texts: pa.Array, between: np.ndarray, head: int):
     lengths = np.diff(np.append(at, len(inside)))
     place = np.arange(len(inside)) - np.repeat(at, lengths)
     with np.errstate(over="ignore"):
-        parts = _BYTE[_LOWER[raw[inside]]] * _powers(int(lengths.max()) + 1)[place]
+        parts = _BYTE[_LOWER[raw[inside]]] * powers(int(lengths.max()) + 1)[place]
         hashes = splitmix(np.add.reduceat(parts, at) + lengths.astype(np.uint64))
         heads = splitmix(np.add.reduceat(np.where(place < head, parts, 0), at)) if head else none[2]
     return hashes, np.searchsorted(starts, offsets).astype(np.int64), heads

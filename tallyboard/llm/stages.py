@@ -69,5 +69,5 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     reach(spark)
     vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary)
-    return byte_bpe.digests(coded).drop("ends", "decoded", "text")
+    coded = byte_bpe.round_trip(docs, vocabulary)
+    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": byte_bpe.ids_digest()})

@@ -116,3 +116,53 @@ def test_blocks_of_odd_rows(odd, none):
     assert rows[0]["n_tokens"] == 1 and rows[-1]["n_tokens"] == 1
     blocks, counts = ans.write(none, data, 50_257, 0)
     assert ans.read_blocks(blocks, counts).count() == 0
+
+
+def test_cache_starts_anew_and_holds_large_passes():
+    seen = []
+
+    def encode(pieces):
+        seen.extend(pieces)
+        return [[ord(c) for c in p] for p in pieces]
+
+    pieces = pretoken.Pieces(encode, limit=8)
+    texts = [" ".join(f"w{i * j % 37}é" for i in range(60)) for j in range(5)] + ["", "a b", "漢 漢"]
+    for _ in range(3):
+        ids, bounds = pretoken.encode_texts(texts, pieces)
+        assert ["".join(map(chr, ids[a:b])) for a, b in zip(bounds, bounds[1:])] == texts
+        for text in texts:
+            ids, bounds = pretoken.encode_texts([text], pieces)
+            assert "".join(map(chr, ids)) == text
+    assert len(pieces.keys) >= 2 * len(pieces.sizes) and "" not in seen
+
+
+def test_pairs_of_hashes_in_one_place():
+    pieces = pretoken.Pieces(lambda p: [[len(x)] for x in p], limit=4)
+    size = len(pieces.keys)
+    hashes = np.array([1 + size * i for i in range(size // 2)], np.uint64)
+    pieces._add(hashes, np.arange(len(hashes), dtype=np.int32))
+    assert pieces._find(hashes).tolist() == list(range(len(hashes)))
+    assert (pieces._find(hashes + np.uint64(2)) < 0).all()
+
+
+def test_round_trip_is_encode_and_decode(docs):
+    import public_tokenizers
+
+    vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    two = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary))
+    want = {r["doc_id"]: (r["ids"], r["decoded_sha256"], r["lang"]) for r in two.collect()}
+    got = byte_bpe.round_trip(docs, vocabulary)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "ids", "decoded_sha256"]
+    assert {r["doc_id"]: (r["ids"], r["decoded_sha256"], r["lang"]) for r in got.collect()} == want
+
+
+def test_rows_of_one_id_go_to_several_ranges(spark):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        tokenizer = file.read()
+    rows = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(400)], "doc_id long, text string")
+    parts = ans.tokenize(rows, tokenizer, 0, 8).groupBy("doc_id").agg({"part": "approx_count_distinct"}).collect()
+    assert all(r[1] > 1 for r in parts)
+    with pytest.raises(ValueError):
+        ans.write(rows, tokenizer, 70_000, 0)
