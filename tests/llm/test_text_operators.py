@@ -467,3 +467,48 @@ def test_passages_are_the_maximal_stretches():
         want = [x for x in every if not any(y[0] <= x[0] and x[1] <= y[1] and y != x for y in every)]
         assert substring_dedup.passages(own, own[hit]) == want
     assert (12, 67, 42) in substring_dedup.passages(np.arange(68).astype(np.uint64), np.flatnonzero(hits[0]).astype(np.uint64))
+
+
+def test_recall_of_near_passages(spark):
+    """Passages with words changed so that about three quarters of the runs of five stay."""
+    rng, rows, want = np.random.default_rng(11), [], []
+
+    def fresh(n):
+        return [f"w{v}" for v in rng.integers(0, 1 << 40, n)]
+
+    for trial in range(150):
+        passage = fresh(int(rng.integers(80, 160)))
+        near = list(passage)
+        changes = len(passage) // (24 if trial % 2 else 40)
+        for at in (np.arange(changes) + 0.5) * len(passage) / changes:
+            near[int(at)] = "changed"
+        for k, part in enumerate([passage, fresh(20) + passage[:30], near]):
+            rows.append((10 * trial + k, " ".join(fresh(60) + part + fresh(60))))
+        want.append((10 * trial + 2, 60, 60 + len(passage)))
+    got = substring_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    seen = defaultdict(set)
+    for r in got:
+        seen[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    covered = [len(seen[i] & set(range(s, e))) / (e - s) for i, s, e in want]
+    assert np.mean(np.array(covered) > 0.8) >= 0.9
+    assert not any(seen[i] - set(range(s, e)) for i, s, e in want)
+
+
+def test_a_hot_passage_costs_a_few_links_a_document(spark):
+    rng = np.random.default_rng(12)
+
+    def fresh(n):
+        return " ".join(f"w{v}" for v in rng.integers(0, 1 << 40, n))
+
+    passage, phrase = fresh(70), fresh(8)
+    rows = [(i, f"{fresh(30)} {passage if i % 2 else phrase} {fresh(60)}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met = substring_dedup.shared_windows(substring_dedup.windows(docs.withColumnRenamed("doc_id", "doc")))
+    held = substring_dedup.by_document(met)
+    aligned = substring_dedup.aligned_links(held)
+    links = substring_dedup.key_links(substring_dedup.opened(held, aligned))
+    assert aligned.groupBy("doc").count().agg({"count": "max"}).first()[0] <= 200
+    assert links.groupBy("doc", "seed", "l", "r").count().agg({"count": "max"}).first()[0] <= 2
+    got = substring_dedup.near_passages(docs).select("doc_id", "start", "end").distinct().collect()
+    found = {r["doc_id"] for r in got if r["start"] <= 30 and r["end"] >= 100}
+    assert found == set(range(3, 1200, 2)) and all(r["doc_id"] % 2 for r in got)
