@@ -131,6 +131,118 @@ def cluster_bootstrap(
     )
 
 
+def grouped_bootstrap(
+    df: DataFrame,
+    group: str,
+    cluster: str,
+    sums: dict[str, Column],
+    statistics: dict[str, Callable[[dict[str, Column]], Column]],
+    *,
+    fixed: DataFrame | None = None,
+    resamples: int = 400,
+    seed: int = 1,
+    alpha: float = 0.05,
+) -> DataFrame:
+    """Percentile intervals of several statistics per group, from one resampling of clusters.
+
+    Rows are summed once to a vector of ``sums`` per group and cluster, and only these
+    vectors are drawn: as many as the group has clusters, each named by a digest of seed,
+    group, replicate and slot, so every group has draws of its own. ``fixed`` has one row per
+    group with columns taken from the full data, which statistics may use beside the sums.
+    A replicate counts for a statistic where that has a value. Rows without a cluster are
+    left out. One row per (group, statistic); a statistic without any value has nulls.
+    """
+    if resamples < 1 or not 0 < alpha < 1:
+        raise ValueError("resamples must be positive and alpha inside (0, 1)")
+    names = list(sums)
+    vectors = df.where(F.col(cluster).isNotNull()).groupBy(
+        F.col(group).alias("group"), F.col(cluster).cast("string").alias("_c")
+    ).agg(*[s.alias(n) for n, s in sums.items()])
+    indexed = hash_rank(vectors, "_c", "_i", within=["group"]).withColumn("_i", F.col("_i") - 1)
+    whole = vectors.groupBy("group").agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("clusters"))
+    draw = hash_number(F.concat_ws(":", F.lit(seed), "group", "_rep", "_slot"), 15)
+    slots = indexed.select("group", F.col("_i").alias("_slot")).join(F.broadcast(whole.select("group", "clusters")), "group")
+    drawn = (
+        slots.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+        .withColumn("_i", (draw % F.col("clusters").cast("decimal(20,0)")).cast("bigint"))
+        .groupBy("group", "_rep", "_i")
+        .agg(F.count("*").alias("_w"))
+    )
+    # A cluster drawn several times in a replicate comes once, with its number.
+    totals = drawn.join(indexed, ["group", "_i"]).groupBy("group", "_rep").agg(
+        *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in names]
+    )
+
+    def valued(rows: DataFrame, *carry: str) -> DataFrame:
+        if fixed is not None:
+            rows = rows.join(F.broadcast(fixed), "group", "left")  # one row per group
+        columns = {c: F.col(c) for c in rows.columns}
+        cells = [F.struct(F.lit(n).alias("statistic"), f(columns).cast("double").alias("v")) for n, f in statistics.items()]
+        return rows.select("group", *carry, F.inline(F.array(*cells)))
+
+    # One row per group, replicate and statistic from here on.
+    values = valued(totals).where("v is not null")
+    both = Window.partitionBy("group", "statistic")
+    ranked = values.withColumn("_k", F.row_number().over(both.orderBy("v")) - 1).withColumn("_last", F.count("*").over(both) - 1)
+    ends = ranked.groupBy("group", "statistic").agg(
+        F.max(F.when(F.col("_k") == F.floor(F.col("_last") * (alpha / 2)), F.col("v"))).alias("lower"),
+        F.max(F.when(F.col("_k") == F.floor(F.col("_last") * (1 - alpha / 2)), F.col("v"))).alias("upper"),
+        F.count("*").alias("valid_resamples"),
+    )
+    return valued(whole, "clusters").withColumnRenamed("v", "point").join(ends, ["group", "statistic"], "left").select(
+        "group", "statistic", "point", "lower", "upper", F.coalesce("valid_resamples", F.lit(0)).alias("valid_resamples"), "clusters"
+    )
+
+
+def adjusted_rates(
+    rows: DataFrame, strata: Sequence[str], *, group: str = "group", stratum: str = "stratum", score: str = "score",
+    cluster: str = "cluster", groups: int = 2, resamples: int = 400, seed: int = 1,
+) -> DataFrame:
+    """Stratum-adjusted score rates of groups, with intervals under resampling of clusters.
+
+    Strata that all ``groups`` have keep the weights of the full data; a replicate in which
+    one of them is empty has no value.
+    """
+    at = range(len(strata))
+    own = [F.coalesce(F.col(stratum) == s, F.lit(False)) for s in strata]
+    sums = {f"s{k}": F.sum(F.when(own[k], F.col(score)).otherwise(0.0)) for k in at} | {f"n{k}": F.count_if(own[k]) for k in at}
+    cells = rows.groupBy(F.col(group).alias("group")).agg(*[F.count_if(own[k]).alias(f"n{k}") for k in at])
+    pooled = cells.agg(
+        *[F.when((F.count_if(F.col(f"n{k}") > 0) == groups), F.sum(f"n{k}")).otherwise(0).alias(f"p{k}") for k in at]
+    ).select("*", sum(F.col(f"p{k}") for k in at).alias("kept"))
+    weights = [pooled.select((F.col(f"p{k}") / F.nullif("kept", F.lit(0))).alias("w")).scalar() for k in at]
+    fixed = cells.select("group", *[weights[k].alias(f"w{k}") for k in at])
+
+    def rate(c: dict[str, Column]) -> Column:
+        # A stratum of no weight takes no part; an empty one of some weight leaves no value.
+        parts = [F.when(c[f"w{k}"] > 0, c[f"w{k}"] * ratio(c[f"s{k}"], c[f"n{k}"])).when(c[f"w{k}"] == 0, 0.0) for k in at]
+        return sum(parts[1:], parts[0])
+
+    return grouped_bootstrap(
+        rows, group, cluster, sums, {"adjusted_score_rate": rate}, fixed=fixed, resamples=resamples, seed=seed
+    )
+
+
+def ranked_prediction_intervals(
+    choices: DataFrame, group: str, cluster: str, *, resamples: int = 400, seed: int = 1
+) -> DataFrame:
+    """Log-loss, top-1 and top-3 of ranked choices per group, with intervals by clusters."""
+    positive = F.col("probability") > 0
+    sums = {
+        "n": F.count("*"),
+        "positive": F.count_if(positive),
+        "loss": F.sum(F.when(positive, -F.ln(F.when(positive, F.col("probability")))).otherwise(0.0)),
+        "one": F.count_if(positive & (F.col("rank") == 1)),
+        "three": F.count_if(positive & (F.col("rank") <= 3)),
+    }
+    statistics = {
+        "log_loss": lambda c: ratio(c["loss"], c["positive"]),
+        "top1": lambda c: ratio(c["one"], c["n"]),
+        "top3": lambda c: ratio(c["three"], c["n"]),
+    }
+    return grouped_bootstrap(choices, group, cluster, sums, statistics, resamples=resamples, seed=seed)
+
+
 # --- classifiers -------------------------------------------------------------------
 
 

@@ -56,24 +56,28 @@ def number_rows(
     ).drop("_hot", "_block", "_local", "_shift")
 
 
-def hash_rank(df: DataFrame, identifier: str, name: str = "rank", seed: str = "", digits: int = 3) -> DataFrame:
+def hash_rank(
+    df: DataFrame, identifier: str, name: str = "rank", seed: str = "", digits: int = 3, within: Sequence[str] = ()
+) -> DataFrame:
     """Dense 1-based rank of unique ids in SHA-256 order, without a global sort.
 
     Ids are ranked inside buckets of equal digest prefixes (``digits`` hexadecimal digits: 3
     serve to about 10^10 ids); one row per bucket carries the running total, so no task
-    ever sees more than one bucket.
+    ever sees more than one bucket. With ``within``, each combination of these columns has
+    ranks of its own; there should be few of them.
     """
     text = F.concat(F.lit(seed), F.col(identifier)) if seed else F.col(identifier)
+    within = list(within)
     hashed = df.withColumn("_h", F.sha2(text, 256)).withColumn(
         "_bucket", F.substring("_h", 1, digits)
     )
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", identifier))
-    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    local = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy("_h", identifier))
+    sizes = hashed.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*within, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
     return (
         hashed.withColumn("_l", local)
-        .join(F.broadcast(shifts), "_bucket")  # 16 ** digits rows at most
+        .join(F.broadcast(shifts), [*within, "_bucket"])  # 16 ** digits rows at most for each
         .withColumn(name, F.col("_l") + F.col("_s"))
         .drop("_h", "_bucket", "_l", "_s")
     )

@@ -38,6 +38,8 @@ DOUBLES = {
     "e11_standardized_rate": "adjusted_score_rate",
     "e12_cluster_bootstrap": "lower point upper",
     "e12_case_bootstrap_poisson": "lower point upper",
+    "e12_adjusted_rates": "lower point upper",
+    "e12_ranked_intervals": "lower point upper",
     "e27_confusion": "row_share",
     "e27_accuracy": "accuracy recall",
     "e27_status_matrix": "row_share",

@@ -95,6 +95,38 @@ def _(t: Tables):
     )
 
 
+LABELS = ["below_-100", "-100_to_99", "100_plus"]
+DRAWN = """di as (select *, row_number() over (partition by grp order by sha256(c), c)-1 i, count(*) over (partition by grp) m from dv),
+dd as (select a.grp, b, (('0x' || substr(sha256('9:' || a.grp || ':' || b || ':' || a.i),1,15))::ubigint % a.m)::bigint i
+  from di a, range(0,150) r(b)),
+dt as (select d.grp, d.b, {sums} from dd d join di using (grp, i) group by 1,2 union all
+  select grp, -1, {sums} from dv group by 1),
+dx as (select grp, b, {values} from dt),
+du as (unpivot dx on {statistics} into name statistic value v),
+dk as (select *, row_number() over (partition by grp, statistic order by v)-1 k, count(*) over (partition by grp, statistic)-1 z
+  from du where b>=0 and v is not null)"""
+ENDS = """select p.grp as "group", p.statistic, p.v as point, max(dk.v) filter (where k=floor(z*0.025)) lower,
+  max(dk.v) filter (where k=floor(z*0.975)) upper, count(dk.v) valid_resamples,
+  (select count(*) from dv where dv.grp=p.grp) clusters from du p left join dk using (grp, statistic) where p.b=-1 group by 1,2,3"""
+
+
+@query(
+    "e12_adjusted_rates",
+    ENDS,
+    "g p",
+    f"""{STRATA}, wt as (select stratum, any_value(pooled)/(select retained from ct)::double w from cw where groups=2 group by 1),
+    dv as (select grp, cluster c, {', '.join(f"sum(score) filter (where stratum='{s}') s{k}, count(*) filter (where stratum='{s}') n{k}"
+        for k, s in enumerate(LABELS))} from cr group by 1,2),
+    {DRAWN.format(
+        sums=', '.join(f'sum(s{k}) s{k}, sum(n{k}) n{k}' for k in range(3)),
+        values='+'.join(f"coalesce((select w*s{k}/nullif(n{k},0) from wt where stratum='{s}'), case when '{s}' not in (select stratum from wt) then 0 end)"
+            for k, s in enumerate(LABELS)) + ' adjusted_score_rate',
+        statistics='adjusted_score_rate')}""",
+)
+def _(t: Tables):
+    return X.adjusted_rates(compared(t), LABELS, resamples=150, seed=9)
+
+
 # --- classifiers -------------------------------------------------------------------
 
 
@@ -235,6 +267,24 @@ def _(t: Tables):
     return X.ranked_prediction_scores(choices, ["ply"])
 
 
+@query(
+    "e12_ranked_intervals",
+    ENDS,
+    "k",
+    f"""{RANKED}, dv as (select band grp, (id//4)::varchar c, count(*) n, count(*) filter (where probability>0) positive,
+    sum(case when probability>0 then -ln(probability) else 0 end) loss, count(*) filter (where probability>0 and rank=1) one,
+    count(*) filter (where probability>0 and rank<=3) three from rp group by 1,2),
+    {DRAWN.format(
+        sums='sum(n) n, sum(positive) positive, sum(loss) loss, sum(one) one, sum(three) three',
+        values='loss/nullif(positive,0) log_loss, one/nullif(n,0)::double top1, three/nullif(n,0)::double top3',
+        statistics='log_loss, top1, top3')}""",
+)
+def _(t: Tables):
+    choices = X.ranked_choices(t.candidates, ["id"], carry=["band", "ply"])
+    games = choices.withColumn("game", F.floor(F.col("id") / 4).cast("bigint"))
+    return X.ranked_prediction_intervals(games, "band", "game", resamples=150, seed=9)
+
+
 @query(
     "e51_cascade_policy",
     f"""select threshold, count(*) filter (where probability>=threshold) accepted,

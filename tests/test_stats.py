@@ -329,3 +329,74 @@ def test_order_check_finds_a_changed_order(spark):
     assert order_check(turned).first()["out_of_order"] > 0
     assert order_check(frame.withColumn("probability", 1 - F.col("probability"))).first()["out_of_order"] > 0
     assert tuple(order_check(frame.where("margin = 3")).first()) == (1, 1, 1, 0)
+
+
+def brute_intervals(rows, stat, seed, resamples, alpha=0.05):
+    """Rows of (group, cluster, ...) drawn one by one, as whole clusters."""
+    import hashlib
+
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    out = {}
+    for g in sorted({r[0] for r in rows}):
+        held = {}
+        for r in rows:
+            if r[0] == g:
+                held.setdefault(r[1], []).append(r)
+        keys = sorted(held, key=lambda c: (digest(c), c))
+        values = []
+        for b in range(resamples):
+            drawn = [x for slot in range(len(keys)) for x in held[keys[int(digest(f"{seed}:{g}:{b}:{slot}")[:15], 16) % len(keys)]]]
+            if (v := stat(g, drawn)) is not None:
+                values.append(v)
+        values.sort()
+        last = len(values) - 1
+        ends = (values[int(alpha / 2 * last)], values[int((1 - alpha / 2) * last)]) if values else (None, None)
+        out[g] = (stat(g, [r for r in rows if r[0] == g]), *ends, len(values), len(keys))
+    return out
+
+
+def test_adjusted_rates_are_those_of_drawn_rows(spark):
+    rng = random.Random(4)
+    strata = ["low", "mid", "high", "never"]
+    rows = [(g, f"c{rng.randrange(9)}", rng.choice(strata[: 3 if g == "x" else 2]), float(rng.random() < 0.5)) for g in "xy" for _ in range(25)]
+    rows += [("x", "c1", None, 1.0)]
+    count = lambda g, s: sum(r[0] == g and r[2] == s for r in rows)
+    common = [s for s in strata if count("x", s) and count("y", s)]
+    kept = sum(count(g, s) for g in "xy" for s in common)
+
+    def adjusted(_, drawn):
+        parts = [[r[3] for r in drawn if r[2] == s] for s in common]
+        if not all(parts):
+            return None
+        return sum((count("x", s) + count("y", s)) / kept * sum(p) / len(p) for s, p in zip(common, parts))
+
+    df = spark.createDataFrame(rows, "group string, cluster string, stratum string, score double")
+    got = {r["group"]: tuple(r)[2:] for r in X.adjusted_rates(df, strata, resamples=60, seed=3).collect()}
+    want = brute_intervals(rows, adjusted, 3, 60)
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_ranked_intervals_are_those_of_drawn_rows(spark):
+    rng = random.Random(5)
+    rows = [(g, f"{rng.randrange(6)}", rng.choice([0.0, 0.2, 0.5, 1.0]), rng.randrange(1, 6)) for g in "ab" for _ in range(30)]
+    rows += [("z", "9", 0.0, 0)]
+    df = spark.createDataFrame(rows, "g string, game string, probability double, rank int")
+    got = {(r["group"], r["statistic"]): tuple(r)[2:] for r in X.ranked_prediction_intervals(df, "g", "game", resamples=40, seed=2).collect()}
+    stats = {
+        "log_loss": lambda _, d: statistics.mean(-math.log(r[2]) for r in d if r[2] > 0) if any(r[2] > 0 for r in d) else None,
+        "top1": lambda _, d: sum(r[2] > 0 and r[3] == 1 for r in d) / len(d),
+        "top3": lambda _, d: sum(r[2] > 0 and r[3] <= 3 for r in d) / len(d),
+    }
+    for name, stat in stats.items():
+        for g, want in brute_intervals(rows, stat, 2, 40).items():
+            assert got[g, name] == pytest.approx(want), (g, name)
+    assert X.ranked_prediction_intervals(df.limit(0), "g", "game").count() == 0
+
+
+def test_bootstrap_draws_vectors_only(spark):
+    """What is drawn has one row for each cluster, whatever the number of rows."""
+    df = spark.range(5000).selectExpr("id % 2 as g", "id % 20 as c", "0.5D as probability", "1 as rank")
+    X.ranked_prediction_intervals(df, "g", "c", resamples=10).collect()
+    text = X.ranked_prediction_intervals(df, "g", "c", resamples=10)._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Generate explode") :]
+    assert "Aggregate" in below and "CartesianProduct" not in text
