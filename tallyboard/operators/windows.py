@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tallyboard.functions.scalars import clock_band, col, deterioration, error_flag, phase
 
 HOT_ROWS = 1_000_000
-PLY_BLOCK = 4096
+LONG_PLIES = 1_000_000
 
 
 def number_rows(
@@ -88,39 +88,55 @@ def lag_values(
     keys: Sequence[str],
     ply: str,
     lags: dict[str, tuple[Column, int]],
-    block: int = PLY_BLOCK,
+    block: int = LONG_PLIES,
+    own: dict[str, Column] | None = None,
+    color: str = "color",
 ) -> DataFrame:
-    """Values from earlier plies of the same key, as ``name -> (value, steps back)``.
-
-    Steps are rows in the order of ``ply``; missing plies change nothing. Where a sequence
-    goes beyond ply ``block``, its rows are numbered and cut every ``block`` rows, and the
-    last rows of a part are copied ahead of the next one, so no window holds more.
+    """Values from earlier plies of the same key, as ``name -> (value, steps back)``, and
+    from the last earlier ply of the same color, as ``own: name -> value``.
+
+    Steps are rows in the order of ``ply``; missing plies change nothing. One sort serves
+    all of them: the last value of each color is carried along it. Sequences that go beyond
+    ply ``block`` are numbered and cut every ``block`` rows, and the last rows of a part are
+    copied ahead of the next one, so no window holds more. Which ones these are is found
+    when the query runs, from a filter that reaches the scan; there are at most rows /
+    ``block`` of them.
     """
+    keys, own = list(keys), own or {}
+    deep = F.broadcast(df.where(F.col(ply) > block).select(*keys).distinct())
+    usual = df.join(deep, keys, "left_anti")
+    along = Window.partitionBy(*keys).orderBy(ply)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    side = F.col(color)
+    named = {name: F.lag(value, steps).over(along) for name, (value, steps) in lags.items()}
+    for name, value in own.items():
+        # A null value is carried too: it stands inside a struct that is not null.
+        last = {c: F.last(F.when(side.eqNullSafe(c), F.struct(value.alias("v"))), True).over(before) for c in ("white", "black", None)}
+        named[name] = F.when(side == "white", last["white"]).when(side == "black", last["black"]).otherwise(
+            F.when(side.isNull(), last[None])
+        )["v"]
+    usual = usual.withColumns(named)
+    long = df.join(deep, keys, "left_semi")
+    if lags:
+        long = _cut_lags(long, keys, ply, lags, block)
+    if own:
+        long = _cut_lags(long, [*keys, color], ply, {name: (value, 1) for name, value in own.items()}, block)
+    return usual.unionByName(long)
+
+
+def _cut_lags(df: DataFrame, keys: list[str], ply: str, lags: dict[str, tuple[Column, int]], block: int) -> DataFrame:
     reach = max(steps for _, steps in lags.values())
     block = max(block, reach)
-    deep = df.where(F.col(ply) > block).select(*keys).distinct()
-    if deep.isEmpty():
-        return _lagged(df, list(keys), ply, lags)
-    rows = df.join(deep, list(keys), "left_semi")
-    numbered = number_rows(rows, keys, [ply], F.floor((F.col(ply) - 1) / block), "_row", block)
+    numbered = number_rows(df, keys, [ply], F.floor((F.col(ply) - 1) / block), "_row", block)
     zero = (F.col("_row") - 1).cast("bigint")
     tail = (zero % block) >= block - reach
     copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spread = numbered.withColumn("_copy", F.explode(copies)).withColumn(
         "_block", F.floor(zero / block).cast("bigint") + F.col("_copy")
     )
-    cut = _lagged(spread, [*keys, "_block"], ply, lags).where(F.col("_copy") == 0)
-    return _lagged(df.join(deep, list(keys), "left_anti"), list(keys), ply, lags).unionByName(
-        cut.drop("_copy", "_block", "_row")
-    )
-
-
-def _lagged(df: DataFrame, keys: list[str], ply: str, lags: dict[str, tuple[Column, int]]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(ply)
-    out = df
-    for name, (value, steps) in lags.items():
-        out = out.withColumn(name, F.lag(value, steps).over(w))
-    return out
+    along = Window.partitionBy(*keys, "_block").orderBy(ply)
+    cut = spread.withColumns({name: F.lag(value, steps).over(along) for name, (value, steps) in lags.items()})
+    return cut.where(F.col("_copy") == 0).drop("_copy", "_block", "_row")
 
 
 def valid_clock(clock: Column | str, base: Column | str, increment: Column | str) -> Column:
@@ -160,10 +176,7 @@ def move_facts(moves: DataFrame, games: DataFrame) -> DataFrame:
         "eval_before_cp_white": (F.col("eval_after_cp_white"), 1),
         "eval_before_mate_white": (F.col("eval_after_mate_white"), 1),
     }
-    # Rows dealt by game serve both windows.
-    lagged = same_side_lag(
-        lag_values(joined, keys, "ply", evals), keys, "clock_after_seconds", "ply", "clock_before_seconds"
-    )
+    lagged = lag_values(joined, keys, "ply", evals, own={"clock_before_seconds": F.col("clock_after_seconds")})
     loss = deterioration("eval_before_cp_white", "eval_after_cp_white", "color")
     return (
         lagged.withColumn("clock_bucket", clock_band("clock_before_seconds"))

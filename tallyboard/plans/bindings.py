@@ -126,7 +126,10 @@ class Tables:
 
     @cached_property
     def moves(self) -> DataFrame:
-        """Raw plies: clock and evaluation after each move."""
+        """Raw plies: clock and evaluation after each move; numbered and written once."""
+        return self.stored("moves", self.numbered_moves)
+
+    def numbered_moves(self) -> DataFrame:
         numbered = W.number_rows(
             self.raw("lineitem"), ["l_orderkey"], LINE_ORDER, F.col("l_partkey"), "ply"
         )

@@ -59,6 +59,40 @@ def test_own_clock_where_a_ply_is_missing(spark):
     assert got == {1: None, 2: None, 4: 50, 5: 60}
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 4096])
+def test_own_values_are_carried_over_gaps(spark, block):
+    rng = random.Random(9)
+    plies = {g: sorted(rng.sample(range(1, 60), n)) for g, n in ((1, 30), (2, 1), (3, 9), (4, 4))}
+    data = [(g, p, rng.choice(["white", "black", "white", None]), rng.choice([None, p])) for g, ps in plies.items() for p in ps]
+    df = spark.createDataFrame(data, "g int, ply int, color string, v int").repartition(5)
+    got = W.lag_values(df, ["g"], "ply", {"a": (F.col("v"), 1)}, block, {"b": F.col("v"), "c": F.col("v") * 2}).collect()
+    assert len(got) == len(data)
+    for r in got:
+        earlier = [d for d in sorted(data) if d[0] == r.g and d[1] < r.ply]
+        own = [d[3] for d in earlier if d[2] == r.color]
+        assert r.a == (earlier[-1][3] if earlier else None)
+        assert r.b == (own[-1] if own else None) and r.c == (None if r.b is None else 2 * r.b)
+
+
+def test_move_facts_sort_once_and_run_nothing_ahead(spark, tmp_path):
+    games = spark.createDataFrame([("p", "g", 60, 0)], "provider string, game_id string, base_seconds bigint, increment_seconds bigint")
+    rows = [("p", "g", i, "white" if i % 2 else "black", 50.0 - i, 10, None) for i in range(1, 9)]
+    path = str(tmp_path / "moves")
+    spark.createDataFrame(rows, "provider string, game_id string, ply int, color string, clock_after_seconds double, "
+                          "eval_after_cp_white bigint, eval_after_mate_white bigint").write.parquet(path)
+    moves = spark.read.parquet(path)
+    games.write.parquet(str(tmp_path / "games"))
+    games = spark.read.parquet(str(tmp_path / "games"))
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("facts", "plan only")
+    facts = W.move_facts(moves, games)
+    assert list(seen.getJobIdsForGroup("facts")) == []
+    spark.sparkContext.setJobGroup("rest", "")
+    facts.collect()
+    final = facts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("- Sort [") <= 1 and final.count("Window [") == 1 and final.count("Exchange hashpartitioning") <= 2
+
+
 def test_visits_are_dealt_once(spark):
     df = spark.createDataFrame([(1, 1, "a", "p")], "g int, ply int, uci string, position_key string")
     plan = W.visit_sequence(df, ["g"])._jdf.queryExecution().executedPlan().toString()
