@@ -308,6 +308,25 @@ def opening_lines(rows: DataFrame, family: str) -> DataFrame:
     )
 
 
+def opening_families(rows: DataFrame) -> DataFrame:
+    """Families of the shown rows by games."""
+    named = rows.where(F.col("opening_family").isNotNull())
+    return named.groupBy(F.col("opening_family").alias("label")).agg(F.sum("games").alias("games")).orderBy(F.col("games").desc(), "label")
+
+
+def line_positions(rows: DataFrame, family: str) -> DataFrame:
+    """Lines of one family with their games and the sorted set of their positions.
+
+    A line has at most as many positions as its plies allow and the cube's floor keeps.
+    """
+    return (
+        rows.where(F.col("opening_family") == family)
+        .groupBy(F.col("opening_line").alias("label"))
+        .agg(F.sum("games").alias("games"), F.array_sort(F.collect_set("fen")).alias("fens"))
+        .orderBy(F.col("games").desc(), "label")
+    )
+
+
 def transpositions(
     routes: DataFrame, positions: DataFrame, *, minimum: int = 10, routes_shown: int = 3
 ) -> tuple[DataFrame, DataFrame]:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard.functions.scalars import (
@@ -167,6 +168,80 @@ class MetricSet:
         return out if limit is None else out.limit(limit)
 
 
+@dataclass(frozen=True)
+class JoinedMetrics:
+    """Metrics of several fact tables that share one entity.
+
+    ``entities`` has one row per entity, named by ``keys``, with the dimensions to filter and
+    group by. ``facts`` are tables with any number of rows per entity. ``simple`` declares a
+    metric as (table, expression to sum), ``ratios`` one simple metric over another, also of
+    different tables. Every fact is summed to its entity before it meets the dimensions, and
+    the tables meet only as sums per group, so rows of one never repeat those of another.
+    """
+
+    entities: DataFrame
+    keys: tuple[str, ...]
+    facts: dict[str, DataFrame]
+    simple: dict[str, tuple[str, Column]]
+    ratios: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+    def _condition(self, column: str, op: str, value) -> Column:
+        c = F.col(column)
+        made = {
+            "=": lambda: c == value, "<>": lambda: c != value, "<": lambda: c < value, "<=": lambda: c <= value,
+            ">": lambda: c > value, ">=": lambda: c >= value, "in": lambda: c.isin(*value),
+            "is null": lambda: c.isNull(), "is not null": lambda: c.isNotNull(),
+        }
+        if op not in made:
+            raise ValueError(f"unknown comparison: {op}")
+        return made[op]()
+
+    def query(
+        self, metrics: Sequence[str], *, where: Sequence[tuple] = (), group_by: Sequence[str] = (), limit: int | None = None
+    ) -> DataFrame:
+        """The asked metrics per group, by the first one down, then the groups.
+
+        A filter is (column, comparison, value). One on a dimension of the entity holds for
+        every metric; one on ``table.column`` only for metrics of that table.
+        """
+        unknown = [m for m in metrics if m not in self.simple and m not in self.ratios]
+        foreign = [g for g in group_by if g not in self.entities.columns]
+        if unknown or foreign or not metrics:
+            raise ValueError(f"unknown metrics or dimensions: {[*unknown, *foreign]}")
+        needed = list(dict.fromkeys(s for m in metrics for s in self.ratios.get(m, (m,))))
+        entities, own = self.entities, {}
+        for column, op, *value in where:
+            table, _, inner = column.rpartition(".")
+            condition = self._condition(inner, op, value[0] if value else None)
+            if table:
+                if table not in self.facts:
+                    raise ValueError(f"unknown table: {table}")
+                own.setdefault(table, []).append(condition)
+            else:
+                entities = entities.where(condition)
+        groups, keys = list(group_by), list(self.keys)
+        parts = []
+        for table in dict.fromkeys(self.simple[s][0] for s in needed):
+            sums = {s: self.simple[s][1] for s in needed if self.simple[s][0] == table}
+            rows = self.facts.get(table, entities)
+            for condition in own.get(table, ()):
+                rows = rows.where(condition)
+            if table in self.facts:
+                summed = rows.groupBy(*keys).agg(*[F.sum(v).alias(f"_s_{s}") for s, v in sums.items()])
+                rows = entities.select(*keys, *[g for g in groups if g not in keys]).join(summed, keys)
+                cells = [F.sum(f"_s_{s}").alias(s) for s in sums]
+            else:
+                cells = [F.sum(v).alias(s) for s, v in sums.items()]
+            parts.append(rows.groupBy(*groups).agg(*cells))
+        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        got = both.groupBy(*groups).agg(*[F.sum(s).alias(s) for s in needed])
+        shown = [ratio(*self.ratios[m]).alias(m) if m in self.ratios else F.col(m) for m in metrics]
+        out = got.select(*groups, *shown)
+        if groups:
+            out = out.orderBy(F.col(metrics[0]).desc_nulls_last(), *[F.col(g).asc_nulls_last() for g in groups])
+        return out if limit is None else out.limit(limit)
+
+
 def mean_clamped_loss(evals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Clamped loss over evaluable moves."""
     grouped = evals.groupBy(*by) if by else evals.groupBy()
@@ -386,14 +461,29 @@ def retained_counts(retained: DataFrame, floor: int = 1000) -> DataFrame:
 def funnel(games: DataFrame) -> DataFrame:
     """Ordered populations of one set of games, each with the one it is part of."""
     done = completed("result") & ~F.col("marked_bot")
-    stages = [
-        ("accepted", F.lit(True), None),
-        ("marked_bots", F.col("marked_bot"), "accepted"),
-        ("unknown_results", (F.col("result") == "*") & ~F.col("marked_bot"), "accepted"),
-        ("eligible_games", done, "accepted"),
-        ("known_opening_games", done & family("source_opening").isNotNull(), "eligible_games"),
-    ]
-    rows = F.array(
+    return funnel_of(
+        games,
+        [
+            ("accepted", F.lit(True), None),
+            ("marked_bots", F.col("marked_bot"), "accepted"),
+            ("unknown_results", (F.col("result") == "*") & ~F.col("marked_bot"), "accepted"),
+            ("eligible_games", done, "accepted"),
+            ("known_opening_games", done & family("source_opening").isNotNull(), "eligible_games"),
+        ],
+    )
+
+
+def funnel_of(rows: DataFrame, stages: Sequence[tuple[str, Column, str | None]]) -> DataFrame:
+    """The stages given as (population, condition, what it is part of), counted in one pass.
+
+    A stage can only be part of one that is given before it.
+    """
+    known: set[str] = set()
+    for name, _, parent in stages:
+        if name in known or (parent is not None and parent not in known):
+            raise ValueError(f"stage {name} is given twice or part of an unknown one")
+        known.add(name)
+    cells = F.array(
         *[
             F.struct(
                 F.lit(i).alias("stage_order"),
@@ -404,7 +494,44 @@ def funnel(games: DataFrame) -> DataFrame:
             for i, (name, cond, parent) in enumerate(stages)
         ]
     )
-    return games.agg(rows.alias("_r")).select(F.inline("_r"))
+    return rows.agg(cells.alias("_r")).select(F.inline("_r"))
+
+
+def intake_funnel(records: DataFrame, kept: Column) -> DataFrame:
+    """Seen, excluded and accepted records, and the populations of the accepted ones."""
+    kept = F.coalesce(kept, F.lit(False))
+    done = kept & completed("result") & ~F.col("marked_bot")
+    return funnel_of(
+        records,
+        [
+            ("seen", F.lit(True), None),
+            ("excluded", ~kept, "seen"),
+            ("accepted", kept, "seen"),
+            ("marked_bots", kept & F.col("marked_bot"), "accepted"),
+            ("unknown_results", kept & (F.col("result") == "*") & ~F.col("marked_bot"), "accepted"),
+            ("eligible_games", done, "accepted"),
+            ("known_opening_games", done & family("source_opening").isNotNull(), "eligible_games"),
+        ],
+    )
+
+
+def source_lineage(training: DataFrame, lineage: str = "opening_corpus") -> DataFrame:
+    """All training games, then those of each source, which roll up to them.
+
+    Sources are ordered by period and cohort; one row for each source.
+    """
+    total, part = "training_games", "training_source_games"
+    sums = training.groupBy("source_period", "source_cohort").agg(F.count("*").alias("games"))
+    order = F.row_number().over(Window.orderBy("source_period", "source_cohort"))
+    name, null = F.lit(lineage).alias("lineage"), F.lit(None).cast("string")
+    parts = sums.select(
+        name, order.alias("stage_order"), F.lit(part).alias("population"), "games", F.col("source_period").alias("period"),
+        F.col("source_cohort").alias("cohort"), F.lit(f"{lineage}:{total}").alias("rolls_up_to"),
+    )
+    whole = sums.agg(F.coalesce(F.sum("games"), F.lit(0)).alias("games")).select(
+        name, F.lit(0).alias("stage_order"), F.lit(total).alias("population"), "games", null.alias("period"), null.alias("cohort"), null.alias("rolls_up_to")
+    )
+    return whole.unionByName(parts)
 
 
 def rollup_strata(strata: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ def load():
         catalog,
         cube_plans,
         facts,
+        report_plans,
         sequence_plans,
         stats_plans,
         store_plans,

@@ -62,6 +62,10 @@ DOUBLES = {
     "e46_attempt_ledger": "bytes_per_second",
     "i12_within_tolerance": "actual expected",
     "i13_rederive_totals": "derived stored",
+    "a10_receipt_attempts": "gross_cost_usd",
+    "a11_report_compression": "endpoint_compression",
+    "a11_report_coverage": "share",
+    "e05_joined_metrics": "draw_rate rows_a_game score_rate",
     "a10_read_run_receipts": "gross_cost_usd",
     "j04_evaluate_calibration": "brier mean_observed mean_predicted",
 }

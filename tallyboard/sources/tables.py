@@ -133,6 +133,26 @@ def label_split_counts(cases: DataFrame) -> DataFrame:
     return cases.groupBy("split", "label").agg(F.count("*").alias("cases"))
 
 
+def declared_count_issues(cases: DataFrame, declared: DataFrame) -> DataFrame:
+    """Where counts differ from declared ones: rows (kind, name, declared, found).
+
+    ``declared`` has (kind, name, cases) with kind label, split or cases (name ``all``). A
+    label or split that only one side has counts 0 on the other.
+    """
+    kinds = F.array(
+        F.struct(F.lit("label").alias("kind"), F.col("label").alias("name")),
+        F.struct(F.lit("split").alias("kind"), F.col("split").alias("name")),
+        F.struct(F.lit("cases").alias("kind"), F.lit("all").alias("name")),
+    )
+    found = cases.select(F.inline(kinds)).groupBy("kind", "name").agg(F.count("*").alias("found"))
+    zero = F.lit(0).cast("bigint")
+    both = declared.select("kind", "name", F.col("cases").cast("bigint").alias("declared"), zero.alias("found")).unionByName(
+        found.select("kind", "name", zero.alias("declared"), "found")
+    )
+    sums = both.groupBy("kind", "name").agg(F.sum("declared").alias("declared"), F.sum("found").alias("found"))
+    return sums.where("declared <> found")
+
+
 RECEIPT_SCHEMA = (
     "run_id string, model string, cases bigint, repeats bigint, headline_passed bigint, "
     "headline_pass_rate double, known_gross_cost_usd double, high_severity_misses bigint, "
