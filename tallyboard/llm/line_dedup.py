@@ -108,8 +108,8 @@ def lengthened(level: DataFrame, step: int, depth: int) -> DataFrame:
 
 
 def removals(df: DataFrame, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
-    """``k, th, gone, longest``: the places of deleted lines of each document, and the
-    length of its longest deleted run."""
+    """``k, th, gone, n_removed, longest``: the stretches of deleted lines of each document
+    (``first`` to before ``end``), their lines, and the length of the longest one."""
     runs = None
     for depth, level in levels(line_ids(df), min_lines):
         counts = F.lit(depth >= min_lines) | (F.col("chars") >= min_chars)
@@ -117,13 +117,16 @@ def removals(df: DataFrame, min_lines: int = 2, min_chars: int = 40) -> DataFram
         runs = found if runs is None else runs.unionByName(found)
     # Of the runs beginning at one place the longest covers the others.
     starts = runs.groupBy(*KEY, "pos").agg(F.max("depth").alias("depth"))
-    gone = starts.select(*KEY, F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("pos")).distinct()
-    in_doc = Window.partitionBy(*KEY)
-    number = F.row_number().over(in_doc.orderBy("pos"))
-    runs = gone.select(*KEY, "pos", (F.col("pos") - number).alias("run"))
-    sized = runs.groupBy(*KEY, "run").agg(F.count("*").alias("size"), F.collect_list("pos").alias("places"))
-    return sized.groupBy(*KEY).agg(
-        F.array_sort(F.flatten(F.collect_list("places"))).alias("gone"), F.max("size").alias("longest")
+    # Runs that overlap or touch are one stretch: it begins where no earlier run reaches.
+    along = Window.partitionBy(*KEY).orderBy("pos")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.col("pos") + F.col("depth"))
+    marked = starts.withColumn("fresh", F.coalesce(F.col("pos") > reach.over(before), F.lit(True)).cast("int"))
+    numbered = marked.withColumn("stretch", F.sum("fresh").over(along))
+    stretches = numbered.groupBy(*KEY, "stretch").agg(F.min("pos").alias("first"), reach.alias("end"))
+    size = F.col("end") - F.col("first")
+    return stretches.groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("first", "end"))).alias("gone"), F.sum(size).alias("n_removed"), F.max(size).alias("longest")
     )
 
 
@@ -140,21 +143,18 @@ def dedup_lines(df: DataFrame, min_lines: int = 2, min_chars: int = 40) -> DataF
     gone = stage_table(removals(base, min_lines, min_chars), "removed")
     joined = rows.join(gone.hint("shuffle_hash"), KEY, "left")
     lines = F.split(F.col("text"), "\n")
-    # The number of non-blank lines up to each line, for the rows that lose some.
-    count = F.aggregate(
-        lines, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda s, line: F.when(F.trim(line) == "", F.struct(s["n"].alias("n"), F.array_append(s["kept"], line).alias("kept")))
-        .when(F.array_contains("gone", s["n"]), F.struct((s["n"] + 1).alias("n"), s["kept"].alias("kept")))
-        .otherwise(F.struct((s["n"] + 1).alias("n"), F.array_append(s["kept"], line).alias("kept"))),
-    )
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(count["kept"], "\n"))
-    size = F.coalesce(F.size(F.filter(lines, lambda s: F.trim(s) != "")), F.lit(0))
-    return joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(size).cast("long"),
-        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        "longest_run": F.coalesce("longest", F.lit(0)).cast("long"),
-        "text": text,
-    }).select("doc_id", "text", *([F.col("rest.*")] if more else []), *ADDED)
+    # Where the non-blank lines stand, those of the stretches among them, and the others.
+    full = F.filter(F.transform(lines, lambda s, i: F.when(F.trim(s) != "", i)), lambda i: i.isNotNull())
+    lost = F.flatten(F.transform("gone", lambda g: F.slice("_full", g["first"] + 1, g["end"] - g["first"])))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), lost)
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+    joined = joined.withColumn("_lines", lines).withColumn("_full", full)
+    return joined.select(
+        "doc_id", text.alias("text"), "rest",
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.coalesce(F.size("_full"), F.lit(0))).cast("long").alias("n_lines"),
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest_run"),
+    ).select("doc_id", "text", *([F.col("rest.*")] if more else []), *ADDED)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

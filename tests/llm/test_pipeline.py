@@ -89,3 +89,10 @@ def test_rows_with_one_id_or_none_are_told_apart(spark, folder, tmp_path):
         (3, same), (3, near), (None, None), (None, ""), (None, rows[8][1]), (9, rows[11][1])]))
     clear = stages.leaks(spark, df, folder)
     assert sorted(map(str, rows_of(clear))) == sorted(map(str, [r for r in rows if passage not in (r[1] or "")]))
+
+
+def test_columns_named_like_the_numbers_keep_their_values(spark, odd, folder):
+    rows = odd.withColumns({"n_removed": F.lit("y"), "longest_run": F.lit("z"), "n_lines_": F.lit("w")})
+    got = stages.lines(spark, rows, folder)
+    assert got.columns == rows.columns
+    assert {(r["n_lines"], r["n_removed"], r["longest_run"], r["n_lines_"]) for r in got.collect()} == {("x", "y", "z", "w")}

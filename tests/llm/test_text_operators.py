@@ -512,3 +512,17 @@ def test_a_hot_passage_costs_a_few_links_a_document(spark):
     got = substring_dedup.near_passages(docs).select("doc_id", "start", "end").distinct().collect()
     found = {r["doc_id"] for r in got if r["start"] <= 30 and r["end"] >= 100}
     assert found == set(range(3, 1200, 2)) and all(r["doc_id"] % 2 for r in got)
+
+
+def test_line_dedup_of_very_long_equal_texts(spark):
+    """Time and rows in proportion to the lines, not to their square."""
+    import time
+
+    lines = [f"line {i}" for i in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n \n".join([*lines, "new one"])), (3, "\n".join(["alone", *lines[5000:5010], "and alone"]))]
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[1]["text"] == rows[0][1]
+    assert got[2]["n_removed"] == got[2]["longest_run"] == 20_000 and got[2]["text"].strip("\n ") == "new one"
+    assert got[3]["text"] == "alone\nand alone" and got[3]["n_lines"] == 12
+    assert time.time() - began < 120
