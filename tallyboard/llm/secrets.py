@@ -16,13 +16,15 @@ one repository. Columns of the input other than doc_id, text and source are left
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyboard.llm.shared import passes, stage_table, table
@@ -77,14 +79,16 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def other_spans(text: str, base) -> list[tuple[int, int, str, bool]]:
     """(start, end, value, whether it is a candidate alone) of random-looking runs that no
     base span touches."""
-    taken = [(s, e) for s, _, e, _ in base]
+    # Base spans by their start, and the furthest end up to each.
+    starts = [s for s, *_ in base]
+    furthest = list(itertools.accumulate((e for _, _, e, _ in base), max, initial=0))
     found = []
     for m in RUN.finditer(text):
         parts = {(p.start(), p.end()) for p in PLAIN.finditer(text, m.start(), m.end())}
         parts.add((m.start(), m.start() + len(m[0].rstrip("."))))
         for at, until in sorted(parts):
             value = text[at:until]
-            if looks_random(value) and not any(s < until and at < e for s, e in taken):
+            if looks_random(value) and furthest[bisect.bisect_left(starts, until)] <= at:
                 found.append((at, until, value, len(value) >= LEAST_ALONE and "." not in value))
     return found
 
@@ -152,18 +156,21 @@ def find(df: DataFrame, wide: int = 3) -> DataFrame:
     # Runs that are no candidates alone count where a base value or another run has their hash.
     known = each.where("not added or live").select("hash").distinct()
     verdict = ownership(each.join(known, "hash", "left_semi"), wide)
+    extra = F.col("added") & F.col("owned")
+    # A part of an added value is not added beside it: what begins before it, or with it and
+    # is longer, reaches its end.
+    before = Window.partitionBy("row_id", extra).orderBy("at", F.desc("until")).rowsBetween(Window.unboundedPreceding, -1)
+    part = F.coalesce(F.max("until").over(before) >= F.col("until"), F.lit(False))
     spans = (
         each.drop("source").distinct().join(verdict, "hash")
+        .withColumn("part", extra & part)
         .groupBy("row_id")
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("added") & F.col("owned"), F.struct("at", "until")))).alias("more"),
-            F.sum((F.col("owned") & ~F.col("added")).cast("long")).alias("n_owned"),
+            F.array_sort(F.collect_list(F.when(extra & ~F.col("part"), F.struct("at", "until")))).alias("more"),
+            F.sum((F.col("owned") & ~F.col("part")).cast("long")).alias("n_owned"),
             F.sum((F.col("n_owners") >= wide).cast("long")).alias("n_copied"),
         )
     )
-    # A part of an added value is not added beside it.
-    within = "exists(more, y -> y.at <= x.at and x.until <= y.until and y != x)"
-    spans = spans.withColumn("more", F.expr(f"filter(more, x -> not {within})")).withColumn("n_owned", F.col("n_owned") + F.size("more"))
     added = F.transform("more", lambda s: F.struct(s["at"].alias("at"), F.lit(4).alias("kind"), F.concat_ws(":", F.lit("owned"), s["at"], s["until"]).alias("word")))
     base = F.transform(
         F.filter(F.split("base", ","), lambda s: s != ""),

@@ -526,3 +526,22 @@ def test_line_dedup_of_very_long_equal_texts(spark):
     assert got[2]["n_removed"] == got[2]["longest_run"] == 20_000 and got[2]["text"].strip("\n ") == "new one"
     assert got[3]["text"] == "alone\nand alone" and got[3]["n_lines"] == 12
     assert time.time() - began < 120
+
+
+def test_secrets_of_a_very_long_text(spark):
+    """Fifty thousand values in one text: time in proportion to them."""
+    import time
+
+    rng = np.random.default_rng(3)
+    letters = np.array(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789"))
+    values = ["".join(rng.choice(letters, 24)) for _ in range(50_000)]
+    text = " ".join(f"token={v}" if i % 2 else v for i, v in enumerate(values))
+    began = time.time()
+    base = secrets.base_spans(text)
+    alone = secrets.other_spans(text, base)
+    assert time.time() - began < 60
+    assert len(base) == 25_000 and 20_000 < len(alone) <= 25_000
+    assert not {(s, e) for s, _, e, _ in base} & {(a, b) for a, b, *_ in alone}
+    row = secrets.find(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert row["n_assign"] == 25_000 and row["spans"].count("owned:") <= row["n_owned"]
+    assert time.time() - began < 150
