@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from tallyboard.operators.dedupe import unpivot_colors
 from tallyboard.operators.filters import eligible, suppress_small
 from tallyboard.operators.joins import date_bounds_by
 from tallyboard.operators.metrics import KEYS, clock_rows
+from tallyboard.session import materialize
 
 MIN_CELL = 10
 
@@ -181,3 +185,68 @@ def clock_game_rows(moves: DataFrame, games: DataFrame, players: DataFrame) -> D
             "black_rating",
         )
     )
+
+
+def opening_cells(visits: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
+    """All grains of earliest visits from one pass over them, in the cube's columns.
+
+    ``opening_family`` (share of all games), ``opening_position``, ``opening_line`` and
+    ``opening_continuation`` (share of the position's games), and, of positions that keep at
+    least two lines, ``transposition`` and ``transposition_route``. A position is one of a
+    family. Cells below ``minimum`` games are left out before anything is made of them. A
+    game's first visit stands at ply 1 and counts for its family.
+    """
+    null = F.lit(None).cast("string")
+
+    def cell(grain: str, fen=null, line=null, move=null):
+        return F.struct(F.lit(grain).alias("grain"), fen.alias("fen"), line.alias("opening_line"), move.alias("continuation"))
+
+    fen, route = F.col("position_key"), F.col("route")
+    move = F.nullif(F.col("next_move"), F.lit(""))
+    cells = F.array(
+        F.when(F.col("ply") == 1, cell("opening_family")),
+        cell("opening_position", fen),
+        F.when(~F.col("route_has_repeat"), cell("opening_line", fen, route)),
+        F.when(move.isNotNull(), cell("opening_continuation", fen, null, move)),
+    )
+    spread = visits.select("opening_family", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c"))
+    kept = suppress_small(
+        spread.groupBy("opening_family", "c.grain", "c.fen", "c.opening_line", "c.continuation").agg(F.count("*").alias("games")), minimum
+    )
+    # What is left is a cube: its cells are read more than once, the visits are not.
+    kept = materialize(kept, "opening-cells")
+    all_games = visits.where(F.col("ply") == 1).agg(F.count("*")).scalar()
+    at = kept.where("grain = 'opening_position'").select("opening_family", "fen", F.col("games").alias("here"))
+    lines = kept.where("grain = 'opening_line'").withColumn("ply", F.size(F.split("opening_line", " ")))
+    own = lines.join(at, ["opening_family", "fen"]).withColumn("share", F.col("games") / F.col("here"))
+    turned = own.groupBy("opening_family", "fen").agg(F.count("*").alias("ply"), F.max("here").alias("games")).where("ply >= 2")
+    parts = [
+        kept.where("grain = 'opening_family'").withColumn("share", F.col("games") / all_games),
+        kept.where("grain = 'opening_position'"),
+        own.drop("here"),
+        kept.where("grain = 'opening_continuation'").join(at, ["opening_family", "fen"]).withColumn("share", F.col("games") / F.col("here")).drop("here"),
+        turned.withColumn("grain", F.lit("transposition")),
+        own.join(turned.select("opening_family", "fen"), ["opening_family", "fen"], "left_semi").drop("here").withColumn("grain", F.lit("transposition_route")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def month_cells(training: DataFrame) -> DataFrame:
+    """``corpus_month``: the games of each source with its first and last date."""
+    return training.groupBy(F.col("source_cohort").alias("cohort"), F.col("source_period").alias("period")).agg(
+        F.count("*").alias("games"), F.min("utc_date").alias("period_start"), F.max("utc_date").alias("period_end")
+    ).withColumn("grain", F.lit("corpus_month"))
+
+
+def color_scores(players: DataFrame, games: DataFrame, families: Sequence[str], control: str, minimum: int = MIN_CELL) -> DataFrame:
+    """``color_score``: outcomes of families by color and rating band under one control."""
+    rows = players.join(games.where(eligible() & (F.col("time_control") == control)).select(*KEYS, "time_control", "source_opening", "utc_date"), KEYS)
+    own = rows.select("time_control", "color", rating_band("rating").alias("rating_band"), family("source_opening").alias("opening_family"), "score", "utc_date")
+    cells = own.where(F.col("opening_family").isin(*families) & F.col("rating_band").isNotNull()).groupBy(
+        "time_control", "color", "rating_band", "opening_family"
+    ).agg(
+        F.count("*").alias("games"), F.count_if(F.col("score") == 1).alias("wins"), F.count_if(F.col("score") == 0.5).alias("draws"),
+        F.count_if(F.col("score") == 0).alias("losses"), F.min("utc_date").alias("period_start"), F.max("utc_date").alias("period_end"),
+    )
+    share = (F.col("wins") + F.col("draws") * 0.5) / F.col("games")
+    return suppress_small(cells, minimum).withColumns({"share": share, "grain": F.lit("color_score")})

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.operators import cells as X
 from tallyboard.operators import cube as Q
 from tallyboard.operators import dedupe as H
 from tallyboard.operators import filters as C
 from tallyboard.operators import metrics as E
+from tallyboard.operators import windows as W
 from tallyboard.plans.bindings import Tables
 from tallyboard.plans.catalog import query
-from tallyboard.plans.cube_plans import TRAINING
-from tallyboard.plans.facts import CLOCK_AGGS, CLOCK_SQL, FLAGS_SQL, PLAYER_FLAGS_SQL
-from tallyboard.session import scratch_path
+from tallyboard.plans.cube_plans import BOUNDS, CELLS, CLOCK_GAMES, OUT, PERIOD, TRAINING
+from tallyboard.plans.facts import CLOCK_AGGS, CLOCK_SQL, FAMILIES, FLAGS_SQL, PLAYER_FLAGS_SQL, RATING_SQL
+from tallyboard.session import scratch, scratch_path
 from tallyboard.sources import recount, reports
 from tallyboard.sources import tables as A
 
@@ -325,3 +327,95 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return recount.recount_cohorts(annotated(t), ["URGENT", "HIGH"], "60+0", 1200, 1900)
+
+
+# --- every grain of the cube ------------------------------------------------------------
+
+
+def all_grains(t: Tables) -> list[DataFrame]:
+    """The grains of the warehouse, of the sources and of the visits."""
+    def tag(df: DataFrame, grain: str, cohort: str | None = "warehouse") -> DataFrame:
+        df = df.withColumn("grain", F.lit(grain))
+        return df.withColumn("cohort", F.lit(cohort)) if cohort else df
+
+    month = {"cohort": F.lit("rated_public"), "period": F.lit("2024-01"), "period_start": F.lit("2024-01-01").cast("date"), "period_end": F.lit("2024-01-31").cast("date")}
+    games = X.clock_game_rows(t.move_facts, t.games, t.players)
+    sample = W.cap_per_cell(games, ["clock_band", "time_control", "rating_band", "color"], "opening_family", "game_key", families=3)
+    return [
+        tag(X.game_cells(t.games_plies), "game_cell"),
+        tag(X.result_cells(t.players, t.games_plies), "result_cell"),
+        # The given lines are short of games: two are enough for a cell here.
+        tag(X.result_cells(t.players, t.games_plies, lines=True, minimum=2), "result_line"),
+        tag(X.clock_cells(t.move_facts, t.games, t.players), "clock_cell"),
+        tag(sample, "clock_game"),
+        tag(X.color_scores(t.players, t.games, FAMILIES, "60+0"), "color_score"),
+        tag(X.source_game_cells(t.sources), "source_game_cell", None),
+        tag(X.source_result_cells(t.sources), "source_result_cell", None),
+        X.month_cells(C.training_policy(H.dedupe_by_rank(t.sources), **TRAINING)),
+        X.opening_cells(t.earliest).withColumns(month),
+    ]
+
+
+def whole_cube(t: Tables) -> DataFrame:
+    """All grains, written once per folder and session by grain, and read back."""
+    kept = scratch(t.spark).tables
+    if (key := ("whole-cube", t.sf_dir, t.version)) not in kept:
+        kept[key] = scratch_path(t.spark, "whole-cube")
+        A.write_cube(all_grains(t), kept[key])
+    return A.read_cube(t.spark, kept[key])
+
+
+def grain(name: str, columns: str, sql: str, uses: str, ctes: str = "") -> None:
+    """The query ``a07_<name>``: the columns of one grain of the stored cube."""
+    @query(f"a07_{name}", f"select {columns} from ({sql})", uses, ctes)
+    def _(t: Tables):
+        return whole_cube(t).where(F.col("grain") == name).select(*[c.strip() for c in columns.split(",")])
+
+
+OPENINGS = """kf as (select opening_family, count(*) games, count(*)/(select count(*) from e where ply=1)::double as share from e where ply=1
+  group by 1 having count(*)>=10),
+ko as (select opening_family, position_key fen, count(*) games from e group by 1,2 having count(*)>=10),
+kl as (select opening_family, position_key fen, route opening_line, count(*) games, len(string_split(route,' '))::bigint as ply from e
+  where not route_has_repeat group by 1,2,3 having count(*)>=10),
+ks as (select kl.*, kl.games/ko.games::double as share, ko.games here, count(*) over (partition by opening_family, fen) n from kl join ko using (opening_family, fen)),
+kc as (select opening_family, position_key fen, next_move continuation, count(*) games from e where nullif(next_move,'') is not null
+  group by 1,2,3 having count(*)>=10)"""
+grain("opening_family", "cohort, period, period_start, opening_family, games, share",
+      "select *, 'rated_public' cohort, '2024-01' period, date '2024-01-01' period_start from kf", "v", OPENINGS)
+grain("opening_position", "opening_family, fen, games", "select * from ko", "v", OPENINGS)
+grain("opening_line", "opening_family, fen, opening_line, games, ply, share", "select * from ks", "v", OPENINGS)
+grain("opening_continuation", "opening_family, fen, continuation, games, share",
+      "select kc.*, kc.games/ko.games::double as share from kc join ko using (opening_family, fen)", "v", OPENINGS)
+grain("transposition", "opening_family, fen, games, ply",
+      "select opening_family, fen, max(here) games, count(*) as ply from ks where n>=2 group by 1,2", "v", OPENINGS)
+grain("transposition_route", "opening_family, fen, opening_line, games, ply, share", "select * from ks where n>=2", "v", OPENINGS)
+grain("corpus_month", "cohort, period, period_start, period_end, games",
+      """select source_cohort cohort, source_period period, min(utc_date) period_start, max(utc_date) period_end, count(*) games
+      from training group by 1,2""", "i")
+grain("color_score", "cohort, time_control, color, rating_band, opening_family, games, wins, draws, losses, share, period_start, period_end",
+      f"""select 'warehouse' cohort, time_control, color, {RATING_SQL} rating_band, family opening_family, count(*) games, count(*) filter (where score=1) wins,
+      count(*) filter (where score=0.5) draws, count(*) filter (where score=0) losses, (count(*) filter (where score=1) +
+      count(*) filter (where score=0.5)*0.5)/count(*)::double as share, min(utc_date) period_start, max(utc_date) period_end
+      from p join gx using (provider, game_id) where eligible and time_control='60+0' and family in ('URGENT','HIGH') and rating is not null
+      group by 1,2,3,4,5 having count(*)>=10""", "g p")
+grain("result_line", "period, period_start, period_end, time_control, color, rating_band, opening_family, opening_line, games, wins, draws, losses, rating_diff, mean_ply",
+      f"""select {PERIOD}, time_control, color, rating_band, family opening_family, opening_line, {OUT} from rr
+      where nullif(opening_line,'') is not null group by 1,2,3,4,5,6,7,8 having count(*)>=2""", "gp mf p", CELLS)
+grain("clock_game", "clock_band, time_control, rating_band, color, opening_family, game_key, opening_line, white_rating, black_rating, period_start",
+      """select * replace (nullif(opening_line,'') as opening_line) from (select *, dense_rank() over (partition by clock_band, time_control, rating_band, color
+      order by family_games desc, fam) family_rank,
+      row_number() over (partition by clock_band, time_control, rating_band, color, fam order by sha256(game_key), game_key) pick from
+      (select *, coalesce(opening_family,'') fam, count(*) over (partition by clock_band, time_control, rating_band, color,
+      coalesce(opening_family,'')) family_games from cg)) where family_rank<=3 and pick=1""", "mf p", f"{CLOCK_SQL}, {CLOCK_GAMES}")
+grain("source_game_cell", "period, cohort, period_start, period_end, time_control, opening_family, games, mean_ply",
+      """select source_period period, source_cohort cohort, period_start, period_end, time_control, family opening_family, count(*) games,
+      avg(ply_count) mean_ply from ie join bd using (source_cohort, source_period) group by all having count(*)>=10""", "i", BOUNDS)
+grain("source_result_cell", "period, cohort, period_start, period_end, time_control, color, rating_band, opening_family, games, wins, draws, losses, rating_diff, mean_ply",
+      f"""select period, cohort, period_start, period_end, time_control, color, {RATING_SQL} rating_band,
+      family opening_family, {OUT} from (select source_period period, source_cohort cohort, period_start,
+      period_end, time_control, family, ply_count, color, case when color='white' then white_rating else
+      black_rating end rating, case when color='white' then black_rating else white_rating end opponent_rating,
+      case when result='1/2-1/2' then 0.5 when (result='1-0')=(color='white') then 1.0 else 0.0 end as score
+      from ie join bd using (source_cohort, source_period), (values ('white'),('black')) c(color)
+      where white_rating is not null and black_rating is not null)
+      group by 1,2,3,4,5,6,7,8 having count(*)>=10""", "i", BOUNDS)

@@ -62,6 +62,14 @@ DOUBLES = {
     "e46_attempt_ledger": "bytes_per_second",
     "i12_within_tolerance": "actual expected",
     "i13_rederive_totals": "derived stored",
+    "a07_opening_family": "share",
+    "a07_opening_line": "share",
+    "a07_opening_continuation": "share",
+    "a07_transposition_route": "share",
+    "a07_color_score": "share",
+    "a07_result_line": "mean_ply rating_diff",
+    "a07_source_game_cell": "mean_ply",
+    "a07_source_result_cell": "mean_ply rating_diff",
     "a10_receipt_attempts": "gross_cost_usd",
     "a11_report_compression": "endpoint_compression",
     "a11_report_coverage": "share",

@@ -45,7 +45,7 @@ CUBE = _schema(
     "games bigint, wins bigint, draws bigint, losses bigint, moves bigint, "
     "evaluable_moves bigint, proxy_errors bigint, error_proxy_rate double, share double, "
     "rating_diff double, mean_ply double, result string, white_rating bigint, "
-    "black_rating bigint, game_key string, mover string"
+    "black_rating bigint, game_key string, continuation string"
 )
 # Column-name parts and text that would publish an identifier.
 FORBIDDEN_PARTS = (

@@ -31,7 +31,7 @@ CASE = "id string, category string, question string, expected_status string, sev
 
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, body`` of every receipt file below a folder, whole files."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("body"))
 
 
@@ -52,10 +52,10 @@ def receipt_attempts(receipts: DataFrame) -> DataFrame:
     parsed = receipts.withColumn("r", F.from_json("body", RECEIPT))
     absent = [F.get_json_object("body", f"$.{f}").isNull() for f in RECEIPT_FIELDS]
     bad = F.col("r").isNull() | absent[0] | absent[1] | absent[2]
-    fail = F.raise_error(F.concat(F.lit("not a receipt: "), "file_name")).cast("bigint")
-    runs = parsed.select(
+    fail = F.raise_error(F.concat(F.lit("not a receipt: "), "file_name")).cast("boolean")
+    runs = parsed.where(F.when(bad, fail).otherwise(F.lit(True))).select(
         "file_name",
-        F.when(bad, fail).otherwise(run_number(F.col("file_name"))).alias("run_number"),
+        run_number(F.col("file_name")).alias("run_number"),
         F.col("r.model").alias("model"),
         F.coalesce("r.reasoning_effort", F.lit("none")).alias("effort"),
         F.posexplode("r.rows").alias("attempt", "a"),
