@@ -545,3 +545,30 @@ def test_secrets_of_a_very_long_text(spark):
     row = secrets.find(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
     assert row["n_assign"] == 25_000 and row["spans"].count("owned:") <= row["n_owned"]
     assert time.time() - began < 150
+
+
+def test_overlapping_is_that_of_all_pairs():
+    rng = np.random.default_rng(5)
+    t, need = substring_dedup.TOKENS, substring_dedup.NEED
+
+    def shared(a, b):
+        return min(a[2], b[2]) - max(a[1], b[1]) + 1 >= t and min(a[4], b[4]) - max(a[3], b[3]) + 1 >= t
+
+    for n in [1, 2, 5, 30, 400] * 6:
+        l, ol = rng.integers(0, 40 * n, n), rng.integers(0, 40 * n, n)
+        near = rng.random(n) < 0.6
+        ol = np.where(near, l + 7, ol)
+        rows = np.stack([rng.integers(-1 if n % 2 else 0, substring_dedup.HASHES, n), l, l + rng.integers(t - 1, 2 * t, n), ol, ol + rng.integers(t - 1, 2 * t, n)], 1)
+        kept = []
+        for a in rows.tolist():
+            seeds = {b[0] for b in rows.tolist() if shared(a, b)}
+            if a[0] < 0 or -1 in seeds or len(seeds) >= need:
+                kept.append(a)
+        want = []
+        for _, l0, r0, ol0, or0 in sorted(kept, key=lambda x: x[1]):
+            if want and l0 <= want[-1][1] + 1:
+                w = want[-1]
+                want[-1] = (w[0], max(w[1], r0), min(w[2], ol0), max(w[3], or0))
+            else:
+                want.append((l0, r0, ol0, or0))
+        assert substring_dedup.overlapping(rows) == want
