@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tallyboard.functions.scalars import surrogate_key  # noqa: E402
-from tallyboard.operators import filters, incremental  # noqa: E402
+from tallyboard.operators import filters, incremental, joins  # noqa: E402
 from tallyboard.operators.metrics import MetricSet  # noqa: E402
 from tallyboard.operators.windows import move_facts  # noqa: E402
 from tallyboard.plans import load  # noqa: E402
@@ -64,38 +64,64 @@ def main() -> None:
         drain(queries[name](spark, sf))
         times[name] = timed(lambda n=name: drain(queries[n](spark, sf)))
 
-    games, players = synthetic_facts(spark, 0, games_wanted)
-    gpath, ppath = scratch_path(spark, "games"), scratch_path(spark, "players")
-    times["synthetic_seed"] = timed(lambda: (games.write.parquet(gpath), players.write.parquet(ppath)))
-    g, p = spark.read.parquet(gpath), spark.read.parquet(ppath)
+    buckets = max(8, int(cpus))
+
+    def stored(df, name: str):
+        return incremental.write_by_key(df, f"bench_{name}", scratch_path(spark, name), "game_key", buckets)
+
+    def keyed(start: int, count: int):
+        return [df.withColumn("game_key", surrogate_key("provider", "game_id")) for df in synthetic_facts(spark, start, count)]
+
+    games, players = keyed(0, games_wanted)
+    times["synthetic_seed"] = timed(lambda: (stored(games, "games"), stored(players, "players")))
+    g, p = spark.table("bench_games"), spark.table("bench_players")
     flags = filters.player_flags(p, g)
-    fpath = scratch_path(spark, "flags")
     drain(flags)
-    times["synthetic_player_games_table"] = timed(lambda: flags.write.parquet(fpath))
-    stored = spark.read.parquet(fpath)
+    fpath = scratch_path(spark, "flags")
+    times["synthetic_player_games_table"] = timed(
+        lambda: incremental.write_by_key(flags, "bench_flags", fpath, "game_key", buckets)
+    )
     score = MetricSet(
-        stored,
+        spark.table("bench_flags"),
         {"score": F.col("eligible_score"), "games": F.col("score_eligible")},
         {"rate": ("score", "games")},
     ).query(["rate", "games"], group_by=["opening_family"])
     drain(score)
     times["synthetic_opening_score"] = timed(lambda: drain(score))
-    more, more_players = synthetic_facts(spark, games_wanted, max(1, games_wanted // 100))
-    # Only rows that are not stored go through the join with their games.
-    candidates = p.unionByName(more_players).withColumn(
-        "player_game_key", surrogate_key("provider", "game_id", "color")
+    times["synthetic_player_outcomes"] = timed(lambda: drain(joins.player_outcomes(p, g)))
+
+    # Increments of 1 % and 10 % of the games: the batch is all rows, old and new.
+    done = games_wanted
+    for share in (100, 10):
+        count = max(1, games_wanted // share)
+        more, more_players = keyed(done, count)
+        incremental.write_by_key(more, "bench_games", "", "game_key", buckets, "append")
+        incremental.write_by_key(more_players, "bench_players", "", "game_key", buckets, "append")
+        done += count
+
+        def append() -> int:
+            return incremental.append_delta(
+                "bench_flags", fpath, spark.table("bench_players"), ["game_key", "color"],
+                lambda fresh: filters.player_flags(fresh, spark.table("bench_games")), "game_key", buckets,
+            )
+
+        added: list[int] = []
+        name = f"synthetic_delta_{100 // share}pct"
+        times[name] = timed(lambda: added.append(append()))
+        times[f"{name}_rerun"] = timed(lambda: added.append(append()))
+        if added != [2 * count, 0]:
+            raise RuntimeError(f"the increment stored {added} rows")
+    cut = games_wanted
+    after = spark.table("bench_games").where(F.col("source_ordinal") > cut)
+    times["synthetic_cutoff"] = timed(lambda: drain(filters.player_flags(spark.table("bench_players").join(after.select("game_key"), "game_key", "left_semi"), after)))
+    changed = filters.player_flags(*keyed(0, max(1, games_wanted // 100))[::-1])
+    times["synthetic_upsert"] = timed(
+        lambda: drain(incremental.upsert(spark.table("bench_flags"), changed, ["game_key", "color"]))
     )
-
-    def append() -> None:
-        fresh = incremental.new_rows(spark.read.parquet(fpath), candidates, "player_game_key")
-        delta = filters.player_flags(fresh.drop("player_game_key"), g.unionByName(more))
-        delta.write.mode("append").parquet(fpath)
-
-    times["synthetic_delta_anti_join"] = timed(append)
-    times["synthetic_delta_rerun"] = timed(append)
-    count = spark.read.parquet(fpath).count()
-    if count != 2 * (games_wanted + max(1, games_wanted // 100)):
-        raise RuntimeError(f"the increment stored {count} rows")
+    if spark.table("bench_flags").count() != 2 * done:
+        raise RuntimeError("the stored table does not have all rows")
+    for name in ("games", "players", "flags"):
+        spark.sql(f"drop table bench_{name}")
     total = round(sum(times.values()), 3)
     print(
         json.dumps(

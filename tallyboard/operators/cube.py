@@ -97,10 +97,11 @@ def collect_with_fallback(
 def clock_rows_with_fallback(
     cube: DataFrame, grain: str, filters: Filters
 ) -> tuple[DataFrame, bool, list[str]]:
-    """Clock rows, whether the window was widened, and filters that matched nothing.
+    """(rows of a clock grain, True where they lie outside the asked dates, filters left unmet).
 
-    A control or rating the grain does not hold gives no rows. The window is widened,
-    without color and family, only where it does not already hold the grain's dates.
+    Where the asked dates hold no row of the grain, color and family are set aside and all
+    dates are looked through. A time control or rating band that the grain never has leaves
+    no rows.
     """
     have = carried_dimensions(cube, grain)
     g = cube.where(F.col("grain") == grain)

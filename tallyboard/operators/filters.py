@@ -16,10 +16,10 @@ def eligible(prefix: str = "") -> Column:
 
 
 def staged_games(games: DataFrame) -> DataFrame:
-    """Games with their key and family."""
-    return games.withColumn("game_key", surrogate_key("provider", "game_id")).withColumn(
-        "opening_family", family("source_opening")
-    )
+    """Games with their key, computed where they do not hold it, and family."""
+    if "game_key" not in games.columns:
+        games = games.withColumn("game_key", surrogate_key("provider", "game_id"))
+    return games.withColumn("opening_family", family("source_opening"))
 
 
 def game_eligibility(games: DataFrame) -> DataFrame:
@@ -47,7 +47,11 @@ def game_flags(games: DataFrame) -> DataFrame:
 
 
 def player_flags(players: DataFrame, games: DataFrame) -> DataFrame:
-    """Player rows with game context and eligible score, win, draw and loss."""
+    """Player rows with game context and eligible score, win, draw and loss.
+
+    Tables that both hold ``game_key`` are joined by it, as they may be stored by it.
+    """
+    keys = ["game_key"] if "game_key" in players.columns and "game_key" in games.columns else ["provider", "game_id"]
     g = game_eligibility(staged_games(games)).select(
         "provider",
         "game_id",
@@ -60,7 +64,8 @@ def player_flags(players: DataFrame, games: DataFrame) -> DataFrame:
         "increment_seconds",
         "opening_family",
     )
-    joined = players.join(g, ["provider", "game_id"]).withColumn(
+    g = g.drop("provider", "game_id") if keys == ["game_key"] else g
+    joined = players.join(g, keys).withColumn(
         "player_game_key", surrogate_key("provider", "game_id", "color")
     )
     ok = (

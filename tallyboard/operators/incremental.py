@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.session import materialize
+
 
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -27,6 +29,34 @@ def append_new(target_path: str, batch: DataFrame, key: str | Sequence[str]) ->
     new_rows(target, batch, key).write.mode("append").parquet(target_path)
 
 
+def write_by_key(df: DataFrame, table: str, path: str, by: str, buckets: int, mode: str = "error") -> DataFrame:
+    """Store ``df`` in ``buckets`` files by the hash of ``by``, as an external table.
+
+    Tables stored by the same column and number of buckets are joined on keys that include
+    that column without moving either; rows are dealt to their bucket once, when written.
+    An appended part adds a file to each bucket it has rows of.
+    """
+    writer = df.repartition(buckets, by).write.mode(mode).bucketBy(buckets, by)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def append_delta(
+    table: str, path: str, batch: DataFrame, key: str | Sequence[str], build: Callable[[DataFrame], DataFrame], by: str, buckets: int
+) -> int:
+    """Append what ``build`` makes of the batch rows whose key is not stored; their number.
+
+    The new rows are written first: where there are none, nothing else is read, and where
+    they are few, what ``build`` joins them with is read with them at hand.
+    """
+    spark = batch.sparkSession
+    fresh = materialize(new_rows(spark.table(table), batch, key), "fresh")
+    count = fresh.count()
+    if count:
+        write_by_key(build(fresh), table, path, by, buckets, "append")
+    return count
+
+
 def upsert(target: DataFrame, batch: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Stored rows without the batch's keys, and the batch. To be written to a new path."""
     keys = _keys(key)

@@ -67,15 +67,19 @@ def join_back(
 
 
 def player_outcomes(players: DataFrame, games: DataFrame) -> DataFrame:
-    """Player rows with their game's context and win, draw and loss flags."""
+    """Player rows with their game's context and win, draw and loss flags.
+
+    Tables that both hold ``game_key`` are joined by it, as they may be stored by it.
+    """
+    keys = ["game_key"] if "game_key" in players.columns and "game_key" in games.columns else KEYS
     g = game_eligibility(games).select(
-        *KEYS, "utc_date", "base_seconds", "increment_seconds", "metric_eligible"
+        *keys, "utc_date", "base_seconds", "increment_seconds", "metric_eligible"
     )
 
     def flag(value: float) -> Column:
         return F.when(F.col("score") == value, 1).otherwise(0).cast("bigint")
 
-    return players.join(g, KEYS).withColumns(
+    return players.join(g, keys).withColumns(
         {"win": flag(1.0), "draw": flag(0.5), "loss": flag(0.0)}
     )
 

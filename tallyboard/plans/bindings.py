@@ -459,10 +459,10 @@ i as (select *, 's0' source_snapshot_id, '2025-11' source_period, 'f0' source_fi
   select *, 's2', '2013-01', 'f2', 2, 'rated_public' from ib where source_ordinal%5=0),
 retained as (select * from i qualify row_number() over
   (partition by provider, game_id order by source_rank)=1),
-training as (select * from retained where white_rating>=1000 and black_rating>=1000
-  and not marked_bot and result<>'*' and ply_count>=3 and source_period<>'2013-01' and
-  (source_cohort<>'elite_reference' or (least(white_rating,black_rating)>=2000 and
-  greatest(white_rating,black_rating)>=2200 and source_event not ilike '%bullet%')))""",
+low_high as (select *, case when white_rating+black_rating is not null then list_sort([white_rating, black_rating]) end lh from retained),
+training as (select * exclude(lh) from low_high where lh[1]>=1000 and not (marked_bot or result='*') and ply_count>2
+  and source_period is distinct from '2013-01' and case source_cohort when 'elite_reference'
+  then lh[1]>=2000 and lh[2]>=2200 and position('bullet' in lower(source_event))=0 else true end)""",
     ),
     "c": (
         "",

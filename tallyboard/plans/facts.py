@@ -510,9 +510,9 @@ def _(t: Tables):
 
 @query(
     "d04_pivot_colors",
-    """select w.game_id, w.rating white_rating, w.player_key white_player_key,
-    b.rating black_rating, b.player_key black_player_key from p w join p b using (provider, game_id)
-    where w.color='white' and b.color='black'""",
+    """select game_id, max(case color when 'white' then rating end) white_rating, max(case color when 'white' then player_key end) white_player_key,
+    max(case color when 'black' then rating end) black_rating, max(case color when 'black' then player_key end) black_player_key
+    from p group by game_id""",
     "p",
 )
 def _(t: Tables):

@@ -27,20 +27,26 @@ from tallyboard.sources import text as X
 
 @query(
     "i01_run_checks",
-    """select 'unique_game_keys' as "check", (select count(*) from (select 1 from gq group by provider, game_id having count(*)<>1)) failures
-    union all select 'unique_player_keys', (select count(*) from (select 1 from pq group by provider, game_id, color having count(*)<>1))
-    union all select 'required_game_fields', (select count(*) from gq where not rated or variant<>'Standard' or source_ordinal<1)
-    union all select 'two_participants', (select count(*) from (select game_id from gq left join pq using (provider, game_id) group by game_id having count(color)<>2 or count(distinct color)<>2))
-    union all select 'no_orphans', (select count(*) from pq anti join gq using (provider, game_id))
-    union all select 'participant_scores', (select count(*) from pq join gq using (provider, game_id) where score is distinct from case when result='*' then null when result='1/2-1/2' then 0.5 when (result='1-0')=(color='white') then 1.0 else 0.0 end)
-    union all select 'score_conservation', (select count(*) from (select sum(score) s from pq group by game_id) where s is not null and s<>1)
-    union all select 'wins_equal_losses', (select abs(count(*) filter (where score=1)-count(*) filter (where score=0)) from pq)
-    union all select 'rating_symmetry', (select count(*) from pq w join pq b using (provider, game_id) where w.color='white' and b.color='black' and (w.rating is distinct from b.opponent_rating or b.rating is distinct from w.opponent_rating))""",
+    """unpivot (select sum((copies>1)::int)::bigint unique_game_keys, sum(repeated)::bigint unique_player_keys, coalesce(sum(lacking),0)::bigint required_game_fields,
+    sum((copies>0 and (held*copies<>2 or colors<>2))::int)::bigint two_participants, coalesce(sum(case when copies is null then held end),0)::bigint no_orphans,
+    coalesce(sum(wrong),0)::bigint participant_scores, coalesce(sum((total<>1)::int),0)::bigint score_conservation, coalesce(abs(sum(won-lost)),0)::bigint wins_equal_losses,
+    sum((colors=2 and (wr is distinct from bo or br is distinct from wo))::int)::bigint rating_symmetry from per_game)
+    on columns(*) into name "check" value failures""",
     "gp p",
     """gq as (select * from gp where source_ordinal%101<>0 union all select * from gp where source_ordinal%211=0),
     pq as (select * replace(case when rating=1000 then 1 else rating end as rating,
     case when color='white' and rating=1111 then 0.5 else score end as score) from p
-    where not (color='black' and rating=1500))""",
+    where not (color='black' and rating=1500)),
+    right_score as (select * from (values ('1-0','white',1.0),('1-0','black',0.0),('0-1','white',0.0),('0-1','black',1.0),
+    ('1/2-1/2','white',0.5),('1/2-1/2','black',0.5)) v(result, color, due)),
+    gs as (select provider, game_id, count(*) copies, min(result) result,
+    sum(1-(rated and variant='Standard' and source_ordinal>=1)::int) lacking from gq group by all),
+    per_game as (select provider, game_id, copies, lacking, count(color) held, count(distinct color) colors, count(color)-count(distinct color) repeated,
+    sum(score) total, coalesce(sum((score=1)::int),0) won, coalesce(sum((score=0)::int),0) lost,
+    sum(case when color is not null and score is distinct from due then copies end) wrong,
+    max(case color when 'white' then rating end) wr, max(case color when 'white' then opponent_rating end) wo,
+    max(case color when 'black' then rating end) br, max(case color when 'black' then opponent_rating end) bo
+    from gs full join pq using (provider, game_id) left join right_score using (result, color) group by all)""",
 )
 def _(t: Tables):
     k = F.col("source_ordinal")
