@@ -1,5 +1,6 @@
 """Stored tables by key, and increments to them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyboard.operators import filters as C
@@ -48,3 +49,19 @@ def test_tables_by_one_key_meet_as_they_lie(spark, tmp_path):
     assert K.verify_equivalence(spark.table(names[2]), rebuilt).first()["equal"]
     for name in names:
         spark.sql(f"drop table {name}")
+
+
+def test_load_batch_and_replay_read_one_stored_table(spark, monkeypatch):
+    from pathlib import Path
+
+    import __spark_entry__ as entry_point
+    from tallyboard.plans import store_plans
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("the tables are not here")
+    batches, append = [], store_plans.K.append_new
+    monkeypatch.setattr(store_plans.K, "append_new", lambda path, batch, key: (batches.append(batch), append(path, batch, key)))
+    entry_point.queries()["k01_append_new"](spark, sf)
+    plans = [b._jdf.queryExecution().optimizedPlan().toString() for b in batches]
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
