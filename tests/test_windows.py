@@ -207,3 +207,25 @@ def test_prefix_lookup_takes_the_longest(spark, rows):
 def test_shift_back(spark):
     df = spark.createDataFrame([(dt.date(2024, 3, 10), dt.date(2024, 3, 16))], "a date, b date")
     assert tuple(df.select(*W.shift_back("a", "b")).first()) == (dt.date(2024, 3, 3), dt.date(2024, 3, 9))
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_usual_keys_are_numbered_in_one_shuffle_of_rows(spark, tmp_path):
+    spark.createDataFrame([(i % 50, i, str(i)) for i in range(500)], "k int, o int, v string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = W.number_rows(df, ["k"], ["o"], F.col("o"), "n")
+    # No row is counted by key and block where no bucket of keys is crowded.
+    assert "hashpartitioning(k#" in final_plan(got) and final_plan(got).count("Exchange hashpartitioning(k#") == 1
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3, 10])
+def test_numbers_of_crowded_buckets_and_null_keys(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(W, "KEY_BUCKETS", 3)
+    data = [(None if i % 9 == 0 else i % 7, i // 4, i) for i in range(90)]
+    df = spark.createDataFrame(data, "k int, o int, i int").repartition(5)
+    got = {r.i: r.n for r in W.number_rows(df, ["k"], ["o", "i"], F.col("o"), "n", hot_rows=hot_rows).collect()}
+    assert got == {d[2]: sum(e[0] == d[0] and e[1:] <= d[1:] for e in data) for d in data}
