@@ -229,3 +229,10 @@ def test_numbers_of_crowded_buckets_and_null_keys(spark, monkeypatch, hot_rows):
     df = spark.createDataFrame(data, "k int, o int, i int").repartition(5)
     got = {r.i: r.n for r in W.number_rows(df, ["k"], ["o", "i"], F.col("o"), "n", hot_rows=hot_rows).collect()}
     assert got == {d[2]: sum(e[0] == d[0] and e[1:] <= d[1:] for e in data) for d in data}
+
+
+def test_keys_of_short_blocks_are_not_broadcast(spark):
+    df = spark.createDataFrame([(g, p, g * p) for g in range(20) for p in range(1, 6)], "g int, ply int, v int")
+    lagged = W.lag_values(df, ["g"], "ply", {"a": (F.col("v"), 1)}, block=2)
+    hinted = [x for x in lagged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "strategy=broadcast" in x]
+    assert hinted and all("_bucket" in x for x in hinted)
