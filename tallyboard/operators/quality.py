@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyboard.functions.scalars import LOSS_CAP, RESULTS, score_from_result
 from tallyboard.operators.joins import orphans, rating_asymmetries
-from tallyboard.operators.windows import sequence_check
+from tallyboard.operators.windows import dealt, sequence_check
 from tallyboard.schemas import FORBIDDEN_PARTS, LEAK_PATTERN
 
 KEYS = ["provider", "game_id"]
@@ -266,7 +266,7 @@ def schema_contract(df: DataFrame, schema: T.StructType) -> DataFrame:
 def validate_moves(moves: DataFrame, games: DataFrame) -> DataFrame:
     """Sampled games whose rows do not match the stored ply count or are not 1..n."""
     checked = sequence_check(moves, KEYS).join(games.select(*KEYS, "ply_count"), KEYS)
-    repeated = moves.groupBy(*KEYS, "ply").count().where("count <> 1")
+    repeated = dealt(moves, [*KEYS, "ply"]).groupBy(*KEYS, "ply").count().where("count <> 1")
     return union(
         [
             _unfold(

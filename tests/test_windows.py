@@ -236,3 +236,9 @@ def test_keys_of_short_blocks_are_not_broadcast(spark):
     lagged = W.lag_values(df, ["g"], "ply", {"a": (F.col("v"), 1)}, block=2)
     hinted = [x for x in lagged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "strategy=broadcast" in x]
     assert hinted and all("_bucket" in x for x in hinted)
+
+
+def test_plies_are_dealt_before_they_are_counted(spark):
+    df = spark.createDataFrame([("p", "g", 1, "white")], "provider string, game_id string, ply int, color string")
+    plan = W.sequence_check(df, ["provider", "game_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
