@@ -18,9 +18,12 @@ EVAL = r"\[%eval\s+([#-]?[-\d.]+)\]"
 GAME_ID = r"^https?://lichess\.org/([A-Za-z0-9]{8})\z"
 
 
-def read_records(spark: SparkSession, path: str, marker: str = MARKER) -> DataFrame:
+def read_records(spark: SparkSession, path: str, marker: str = MARKER, by_folder: bool = False) -> DataFrame:
     """Records that start with ``marker``, with file name and 1-based ordinal per file.
 
+    With ``by_folder`` the files of one folder are one source: their records are numbered on
+    from file to file, in the order of the files' names.
+
     Files are split over tasks at the marker. A record's ordinal is its running number in
     its split plus the records of earlier splits; only a table with one row for each split
     is moved, no text is.
@@ -46,7 +49,8 @@ def read_records(spark: SparkSession, path: str, marker: str = MARKER) -> DataFr
     sizes = framed.groupBy("file", "block").agg(
         F.count("*").alias("n"), F.min("mono").alias("first")
     )
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    source = F.regexp_replace("file", "/[^/]*$", "") if by_folder else F.col("file")
+    before = Window.partitionBy(source).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
         "file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
     )

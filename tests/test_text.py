@@ -217,3 +217,20 @@ def test_summaries_reach_rows_with_maps(spark):
     df = spark.createDataFrame([(1, {"a": 1}), (1, {"b": 2}), (2, {})], "k int, m map<string,int>")
     summary = df.groupBy("k").agg(F.count("*").alias("n"), F.lit("s").alias("v"))
     assert D.join_back(df, summary, ["k"], "n").count() == 3
+
+
+def test_a_part_is_written_by_many_tasks(spark, monkeypatch):
+    """Files of a part hold ranges of ordinals; records are numbered on from file to file."""
+    from types import SimpleNamespace
+
+    from tallyboard.plans import store_plans
+
+    monkeypatch.setattr(store_plans, "RECORDS_A_FILE", 20, raising=False)
+    df = spark.range(1, 241).select((F.col("id") % 3).cast("int").alias("part"), F.col("id").alias("ordinal"))
+    df = df.withColumn("record", F.concat(F.lit('[Event "x"]\n[Site "'), "ordinal", F.lit('"]\n\n1-0'))).repartition(5)
+    got = store_plans.written_in_parts(SimpleNamespace(spark=spark), df)
+    site = F.regexp_extract("record", r'Site "(\d+)"', 1).cast("int").alias("site")
+    found = [tuple(r) for r in got.select("part", "ordinal", site, "file").collect()]
+    want = {(p, i, s) for p in range(3) for i, s in enumerate([s for s in range(1, 241) if s % 3 == p], 1)}
+    assert {f[:3] for f in found} == want and len(found) == 240
+    assert all(len({f[3] for f in found if f[0] == p}) > 1 for p in range(3))
