@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -572,3 +573,29 @@ def test_overlapping_is_that_of_all_pairs():
             else:
                 want.append((l0, r0, ol0, or0))
         assert substring_dedup.overlapping(rows) == want
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Every count, step and threshold sees all rows, whatever their number and shards."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(9000):
+        y = int(i % 3 == 0)
+        # One of 1,500 words marks a toxic text: a few rows of a class do not show them all.
+        w = [f"w{v}" for v in rng.integers(0, 50, 6)] + ([f"bad{i // 3 % 1500}"] if y else [])
+        rows.append((i, " ".join(rng.permutation(w)), "en", y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(5)
+    docs, truth = df.drop("toxic"), df.select("doc_id", "toxic")
+    kept = toxicity.labelled(docs, truth, 1)
+    assert kept.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(9000))
+    inner = kept.where("not outer")
+    n, counts = inner.count(), toxicity.seen_words(inner)
+    word = toxicity.word_ids(pa.array(["w7"]))[0][0, 0]
+    assert counts[:, word].sum() == inner.where("array_contains(split(text, ' '), 'w7')").count()
+    net = toxicity.Net()
+    net.start(counts, np.array([inner.where(f"toxic = {y}").count() for y in (0, 1)]), rng)
+    assert {len(toxicity.epoch_steps(inner, net, s, 0.01, [1, 0]).filter(pc.field("part") == -1)) for s in (1, 3)} == {1}
+    assert pc.sum(toxicity.outer_logits(kept.where("outer"), net).column("n")).as_py() == kept.count() - n
+    monkeypatch.setattr(toxicity, "SHARD", 1500)
+    net = toxicity.train(docs, truth)
+    held = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, net).where(toxicity.held_out()).collect()}
+    assert np.mean([held[i] == int(i % 3 == 0) for i in held]) > 0.95
