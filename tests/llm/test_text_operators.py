@@ -599,3 +599,17 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     net = toxicity.train(docs, truth)
     held = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, net).where(toxicity.held_out()).collect()}
     assert np.mean([held[i] == int(i % 3 == 0) for i in held]) > 0.95
+
+
+def test_windows_of_distinct_tokens():
+    """Texts side by side have the windows that each has alone."""
+    rng = np.random.default_rng(5)
+    for least in (3, 10, 46):
+        bounds = np.concatenate([[0], np.cumsum([least, least + 1, 200, least, 123, 500])])
+        h = rng.permutation(1 << 16)[: bounds[-1]].astype(np.uint64) << np.uint64(47)
+        got = substring_dedup.distinct_windows(h, bounds, least)
+        want = [
+            (l + s, c + s, r + s) for s, e in zip(bounds.tolist(), bounds[1:].tolist())
+            for l, c, r in substring_dedup.compact_windows(h[s:e], least)
+        ]
+        assert sorted(map(tuple, got.tolist())) == sorted(want)
