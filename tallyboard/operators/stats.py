@@ -13,6 +13,7 @@ from tallyboard.functions.scalars import hash_number
 from tallyboard.operators.joins import join_back
 from tallyboard.operators.metrics import ratio
 from tallyboard.operators.windows import hash_rank
+from tallyboard.session import materialize, spread
 
 # Fixed value: the 97.5% standard normal quantile.
 Z_95 = 1.959963984540054
@@ -145,8 +146,8 @@ def grouped_bootstrap(
 ) -> DataFrame:
     """Percentile intervals of several statistics per group, from one resampling of clusters.
 
-    Rows are summed once to a vector of ``sums`` per group and cluster, and only these
-    vectors are drawn: as many as the group has clusters, each named by a digest of seed,
+    Rows are summed once to a vector of ``sums`` per group and cluster, stored with its number
+    in the shared folder, and only these vectors are drawn: as many as the group has clusters, each named by a digest of seed,
     group, replicate and slot, so every group has draws of its own. ``fixed`` has one row per
     group with columns taken from the full data, which statistics may use beside the sums.
     A replicate counts for a statistic where that has a value. Rows without a cluster are
@@ -158,10 +159,13 @@ def grouped_bootstrap(
     vectors = df.where(F.col(cluster).isNotNull()).groupBy(
         F.col(group).alias("group"), F.col(cluster).cast("string").alias("_c")
     ).agg(*[s.alias(n) for n, s in sums.items()])
-    indexed = hash_rank(vectors, "_c", "_i", within=["group"]).withColumn("_i", F.col("_i") - 1)
-    whole = vectors.groupBy("group").agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("clusters"))
+    # All that follows reads the stored vectors, so the plan has the work on ``df`` once.
+    numbered = hash_rank(materialize(vectors, "vectors"), "_c", "_i", within=["group"])
+    indexed = materialize(numbered.withColumn("_i", F.col("_i") - 1), "indexed")
+    whole = indexed.groupBy("group").agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("clusters"))
     draw = hash_number(F.concat_ws(":", F.lit(seed), "group", "_rep", "_slot"), 15)
-    slots = indexed.select("group", F.col("_i").alias("_slot")).join(F.broadcast(whole.select("group", "clusters")), "group")
+    # A few files of vectors are many draws.
+    slots = spread(indexed.select("group", F.col("_i").alias("_slot"))).join(F.broadcast(whole.select("group", "clusters")), "group")
     drawn = (
         slots.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
         .withColumn("_i", (draw % F.col("clusters").cast("decimal(20,0)")).cast("bigint"))

@@ -400,3 +400,10 @@ def test_bootstrap_draws_vectors_only(spark):
     text = X.ranked_prediction_intervals(df, "g", "c", resamples=10)._jdf.queryExecution().optimizedPlan().toString()
     below = text[text.index("Generate explode") :]
     assert "Aggregate" in below and "CartesianProduct" not in text
+
+
+def test_bootstrap_plan_has_the_work_once(spark):
+    """The plan that draws reads stored vectors; the input's own work is not planned again."""
+    df = spark.range(400).selectExpr("id % 2 as g", "id % 20 as c", "0.5D as probability", "1 as rank")
+    text = X.ranked_prediction_intervals(df, "g", "c", resamples=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in text and "Generate explode" in text
