@@ -455,6 +455,48 @@ def test_whole_passages_behind_earlier_pieces(spark):
     assert not [w for w in missed if w[0] % 10 == 5] and len(missed) <= 1
 
 
+def test_whole_passages_between_earlier_and_later_pieces(spark):
+    """The only document with all of a passage is neither the first nor the nearest one with
+    any of its minima: others with pieces of it come before and after."""
+    rng, rows, want = np.random.default_rng(8), [], []
+
+    def fresh(n):
+        return [f"w{v}" for v in rng.integers(0, 1 << 40, n)]
+
+    for trial in range(25):
+        passage = fresh(90)
+        pieces = [passage[a : a + 35] for a in (0, 18, 36, 55)]
+        near = list(passage)
+        near[20] = near[60] = "changed"
+        for k, part in enumerate([*pieces, passage, *pieces, near]):
+            rows.append((10 * trial + k, " ".join(fresh(40) + part + fresh(40))))
+        want.append(10 * trial + 9)
+    got = substring_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    seen = defaultdict(set)
+    for r in got:
+        assert r["doc_id"] in want and r["of_doc_id"] == r["doc_id"] - 5 and r["share"] >= 0.75
+        seen[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    covered = [len(seen[i] & set(range(40, 130))) for i in want]
+    assert sum(n == 90 for n in covered) >= 23
+
+
+def test_further_links_of_a_hot_passage(spark):
+    """Many documents with one passage or one phrase in other surroundings are linked
+    no further; the one document that goes on like an earlier one is."""
+    rng = np.random.default_rng(13)
+
+    def fresh(n):
+        return " ".join(f"w{v}" for v in rng.integers(0, 1 << 40, n))
+
+    passage, phrase, more = fresh(70), fresh(8), fresh(12)
+    rows = [(i, f"{fresh(30)} {passage if i % 2 else phrase} {more if i in (301, 901) else ''} {fresh(60)}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(4)
+    by_doc = substring_dedup.by_document(substring_dedup.shared_windows(substring_dedup.windows(docs)))
+    known = spark.createDataFrame([(i, 30, 100, 1, 1.0) for i in range(3, 1200, 2)], "doc long, start long, end long, other long, share double")
+    every = substring_dedup.further_passages(docs, by_doc, known)
+    assert {(r["doc"], r["other"], r["start"], r["end"]) for r in every.exceptAll(known).collect()} == {(901, 301, 30, 112)}
+
+
 def test_passages_are_the_maximal_stretches():
     rng = np.random.default_rng(6)
     hits = [np.isin(np.arange(68), [*range(6), *range(12, 32), *range(46, 68)])]
